@@ -151,6 +151,25 @@ def _score(frequent: list[tuple[bytes, int]], logp: np.ndarray, class_log: np.nd
     return run
 
 
+def frequent_words(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The end token and the most frequent words, at most FREQUENT, by falling count.
+
+    A histogram of rounded logarithms of counts finds how far down they fit, so that what comes to
+    the driver has the same bound however many words and partitions there are.
+    """
+    level = F.floor(F.log2("c") * 8)
+    words = counts.filter(F.length("word") > 0)
+    room, lowest = FREQUENT, None
+    for r in sorted(words.groupBy(level.alias("l")).count().collect(), key=lambda r: -r.l):
+        room -= r["count"]
+        if room < 0:
+            break
+        lowest = r.l
+    found = [] if lowest is None else [(bytes(r.word), r.c) for r in words.filter(level >= lowest).collect()]
+    ends = counts.filter(F.length("word") == 0).agg(F.sum("c")).first()[0] or 0
+    return [(END, ends), *sorted(found, key=lambda x: (-x[1], x[0]))]
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -163,10 +182,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     training = rows.filter(~F.col("held_out")).select("text")
     counts = saved(training.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
     classes = counts.groupBy((F.crc32("word") % CLASSES).cast("int").alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
-    frequent = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()]
-    frequent.sort(key=lambda x: (x[0] != END, -x[1], x[0]))  # the end token has a type of its own
-    if not frequent or frequent[0][0] != END:
-        frequent.insert(0, (END, 0))
+    frequent = frequent_words(counts)
     n_train, v_train = sum(r.c for r in classes), sum(r.v for r in classes)
     size = np.zeros(CLASSES)
     for r in classes:
