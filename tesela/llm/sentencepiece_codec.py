@@ -16,6 +16,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ MARK = "▁"
 UNIT = 48
 _UNITS = re.compile(rf" ?[^ ]{{1,{UNIT - 1}}}| {{1,{UNIT}}}")
 
+
 class Pieces:
     """Pieces, ids and weights of a public model, and a trie of the pieces as a hash table.
 
@@ -181,8 +183,8 @@ class Lattices:
         self.to = np.where(first[start], -1, start)
 
 
-def segment(pieces: Pieces, texts: list[str], keys: np.ndarray, seed: int) -> list[np.ndarray]:
-    """Sampled piece ids of each text."""
+def segment(pieces: Pieces, texts: list[str], keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sampled piece ids of all texts, one after the other, and where each text's begin and end."""
     known: dict[str, int] = {}
     occurrences, sizes = [], []
     for t in texts:
@@ -190,7 +192,7 @@ def segment(pieces: Pieces, texts: list[str], keys: np.ndarray, seed: int) -> li
         occurrences += [known.setdefault(u, len(known)) for u in units]
         sizes.append(len(units))
     if not known:
-        return [np.zeros(0, np.int32) for _ in texts]
+        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int32)
     occ, sizes = np.array(occurrences, np.int64), np.array(sizes, np.int64)
     lattices = Lattices(pieces, list(known))
     row = np.repeat(np.arange(len(texts)), sizes)
@@ -222,7 +224,7 @@ def segment(pieces: Pieces, texts: list[str], keys: np.ndarray, seed: int) -> li
         for b, s in zip(begin[bytewise].tolist(), spelled):
             out[b : b + len(s)] = s
         ids, where = out, np.repeat(where, width)
-    return np.split(ids.astype(np.int32), np.searchsorted(where, np.arange(1, len(texts))))
+    return ids.astype(np.int32), np.searchsorted(where, np.arange(len(texts) + 1)).astype(np.int32)
 
 
 def row_key(value) -> int:
@@ -237,14 +239,14 @@ def read_model(spark, path: str) -> bytes:
 
 
 #: Texts of about so many characters are sampled together.
-GROUP = 1_500_000
+GROUP = 600_000
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL, seed: int = 20, sharpness: float = 1.0, digest: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, n_pieces, round_trip, and ids or (``digest``) ids_sha256.
 
     ids are the pieces of a sampled segmentation of the whole text, ids_sha256 the lowercase hex
-    digest of them as comma-joined decimal text; round_trip tells that decoding gave the text back.
+    digest of them as little-endian 32-bit integers; round_trip tells that decoding gave the text back.
     Null is an empty text, which has no pieces. Equal ids and texts have equal segmentations, so
     repeated rows agree; null ids share one key. An empty table gives no rows.
     """
@@ -253,22 +255,23 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     def run(batches):
         pieces = Pieces(proto, sharpness)
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = [t or "" for t in texts]
+            names, column = batch.column(0), batch.column(1)
+            sizes = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)
             begin = 0
-            while begin < len(texts):
-                end, size = begin, 0
-                while end < len(texts) and (end == begin or size + len(texts[end]) <= GROUP):
-                    size += len(texts[end])
+            while begin < len(sizes):
+                end, size = begin + 1, sizes[begin]
+                while end < len(sizes) and size + sizes[end] <= GROUP:
+                    size += sizes[end]
                     end += 1
-                part = texts[begin:end]
-                got = segment(pieces, part, np.array([row_key(x) for x in names[begin:end]], np.uint64), seed)
-                same = [pieces.decode(g.tolist()) == t.encode() for g, t in zip(got, part)]
+                texts = [t or "" for t in column.slice(begin, end - begin).to_pylist()]
+                ids, cuts = segment(pieces, texts, np.array([row_key(x) for x in names.slice(begin, end - begin).to_pylist()], np.uint64), seed)
+                spans = list(zip(texts, cuts[:-1].tolist(), cuts[1:].tolist()))
+                same = [pieces.decode(ids[a:b].tolist()) == t.encode() for t, a, b in spans]
                 if digest:
-                    last = pa.array([hashlib.sha256(",".join(map(str, g.tolist())).encode()).hexdigest() for g in got])
+                    last = pa.array([hashlib.sha256(ids[a:b].astype("<i4").tobytes()).hexdigest() for _, a, b in spans])
                 else:
-                    last = pa.array([g.tolist() for g in got], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array([len(g) for g in got], pa.int64()), pa.array(same), last], names=[id_col, "n_pieces", "round_trip", "ids_sha256" if digest else "ids"])
+                    last = pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([names.slice(begin, end - begin), pa.array(np.diff(cuts).astype(np.int64)), pa.array(same), last], names=[id_col, "n_pieces", "round_trip", "ids_sha256" if digest else "ids"])
                 begin = end
 
     kind = docs.schema[id_col].dataType.simpleString()
