@@ -26,24 +26,37 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, _SPACES, " " * len(_SPACES)), " "), "")
 
 
-def _bucket(*parts: Column) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
+def _after(array: Column, n: int) -> Column:
+    """The array without its first ``n`` elements."""
+    return F.slice(array, n + 1, F.greatest(F.size(array) - n, F.lit(0)))
 
 
-def buckets(words: Column) -> Column:
-    """Buckets of all words and word pairs of a text."""
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), _bucket(a, b)))
-    return F.concat(F.transform(words, lambda w: _bucket(w)), F.array_compact(pairs))
+def _chain(a: Column, b: Column) -> Column:
+    """Hashes of a[i] with b[i], as far as both go."""
+    n = F.least(F.size(a), F.size(b))
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: F.xxhash64(x, y))
 
 
-def _window_repeats(width: int = 5) -> Column:
-    """Words in windows of ``width`` words that occur twice or more in the text.
+def with_hashes(rows: DataFrame) -> DataFrame:
+    """Adds h (a hash of each word) and h2 (of each word pair) to rows with words."""
+    hashed = rows.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
+    return hashed.withColumn("h2", _chain(F.col("h"), _after(F.col("h"), 1)))
+
+
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
+def _window_repeats() -> Column:
+    """Words in windows of five words that occur twice or more in the text.
 
     Hashes of the windows tell which texts have none; the windows themselves are compared after.
     """
+    width = 5
     n = F.size("words") - (width - 1)
     starts = F.sequence(F.lit(1), n)
-    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get("words", i + (k - 1)) for k in range(width)]))
+    h4 = _chain(F.col("h2"), _after(F.col("h2"), 2))
+    hashes = _chain(h4, _after(F.col("h"), 4))
     texts = F.transform(starts, lambda i: F.struct(F.array_join(F.slice("words", i, width), " ").alias("w"), i.alias("i")))
 
     def repeated(sorted_: Column) -> Column:
@@ -65,7 +78,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     """A log ratio for each bucket, from all n-grams of the corpus and of its trusted part."""
     ids = trusted.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct().withColumn("target", F.lit(1))
     rows = docs.select(F.col(id_col).alias("id"), words_of(text_of(text_col)).alias("words"))
-    grams = rows.join(small(ids, ids.count()), "id", "left").select("target", F.explode(buckets(F.col("words"))).alias("b"))
+    grams = with_hashes(rows.join(small(ids, ids.count()), "id", "left")).select("target", F.explode(F.concat("h", "h2")).alias("g")).select("target", _bucket(F.col("g")).alias("b"))
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     for r in grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("target").alias("target")).collect():  # BUCKETS rows at most
         raw[r.b] += r.raw
@@ -85,10 +98,11 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     ratios = log_ratios(docs, trusted, id_col, text_col)
     table = F.lit(",".join(f"{x:.6g}" for x in ratios))
     table = F.split(table, ",").cast("array<double>")  # folded into one constant
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("words", words_of(F.col("text")))
+    rows = with_hashes(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("words", words_of(F.col("text"))))
     bare = F.translate("text", " " + _SPACES, "")
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.translate(x, " " + _SPACES, "")) > 0)
-    ratio = F.aggregate(buckets(F.col("words")), F.lit(0.0), lambda acc, b: acc + F.get(table, b))
+    add = lambda acc, h: acc + F.get(table, _bucket(h))
+    ratio = F.aggregate("h", F.lit(0.0), add) + F.aggregate("h2", F.lit(0.0), add)
     n = F.size("words")
     out = rows.select(
         "id", n.cast("long").alias("n_words"), F.length(bare).cast("long").alias("word_chars"),
