@@ -65,7 +65,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = with_row_ids(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     found = saved(rows.select("rid", "id", "text").mapInArrow(_hash(unit, min_words), f"rid long, id {kind}, start int, stop int, digest binary"))
     rank = F.struct(F.col("id").isNull().alias("n"), "id", "start", "rid")
-    first = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
+    # Saved, so that the join below deals both sides anew and a very common unit can be split.
+    first = saved(found.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first"))
     repeated = found.join(first, "digest").filter((F.col("rid") != F.col("first.rid")) | (F.col("start") != F.col("first.start")))
     spans = repeated.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))  # of one text
     cut = rows.join(spans, "rid", "left").select("rid", "id", "text", "spans").mapInArrow(_cut, f"id {kind}, spans array<struct<start:int,stop:int>>, text string")
