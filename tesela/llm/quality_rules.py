@@ -11,19 +11,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, text_of
+from .common import SPACE, small, text_of
 
 BUCKETS = 1 << 14
 #: Texts whose mean log ratio is lower are rejected.
 THRESHOLD = -0.12
 
-_SPACES = "\t\n\x0b\x0c\r"
-_SYMBOLS = "#*$%&|<>"
+_SYMBOLS = "[#*$%&|<>]"
 
 
 def words_of(text: Column) -> Column:
     """The words of a text, as an array."""
-    return F.array_remove(F.split(F.translate(text, _SPACES, " " * len(_SPACES)), " "), "")
+    return F.array_remove(F.split(text, f"[{SPACE}]+"), "")
 
 
 def _after(array: Column, n: int) -> Column:
@@ -99,14 +98,14 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     table = F.lit(",".join(f"{x:.6g}" for x in ratios))
     table = F.split(table, ",").cast("array<double>")  # folded into one constant
     rows = with_hashes(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("words", words_of(F.col("text"))))
-    bare = F.translate("text", " " + _SPACES, "")
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.translate(x, " " + _SPACES, "")) > 0)
+    letters = F.aggregate("words", F.lit(0), lambda acc, w: acc + F.length(w))
+    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
     add = lambda acc, h: acc + F.get(table, _bucket(h))
     ratio = F.aggregate("h", F.lit(0.0), add) + F.aggregate("h2", F.lit(0.0), add)
     n = F.size("words")
     out = rows.select(
-        "id", n.cast("long").alias("n_words"), F.length(bare).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", _SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        "id", n.cast("long").alias("n_words"), letters.cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(_SYMBOLS)).cast("long").alias("n_symbols"),
         F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long").alias("n_dup_lines"),
         _window_repeats().alias("n_repeat_words"), F.when(n > 0, ratio / F.greatest(2 * n - 1, F.lit(1))).otherwise(0.0).alias("llr"),
     )
