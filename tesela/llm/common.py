@@ -42,6 +42,17 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session's Arrow batches are bounded to 8 MB, unless it has set a bound.
+
+    A batch is held a few times over (in the JVM, in Arrow's buffers and in Python), by each task.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key) in ("67108864b", "64MB", "67108864"):
+        df.sparkSession.conf.set(key, "8m")
+    return df
+
+
 def with_row_ids(df: DataFrame, name: str = "rid") -> DataFrame:
     """``df`` saved with a row id that stays the same however often it is read again."""
     return saved(df.withColumn(name, F.monotonically_increasing_id()))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, saved, text_of
+from .common import SPACE, bounded_batches, saved, text_of
 
 _GAPS = re.compile(rb"[\x20\x09-\x0D]+")
 
@@ -103,6 +103,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     than any other, and of rows with the same id and text exactly one stays. An empty table gives
     an empty result. Only the named columns are read, so other columns may have any name.
     """
+    docs = bounded_batches(docs)
     carry = [c for c in carry or [] if c != id_col]
     norm = F.regexp_replace(text_of(text_col), f"[{SPACE}]+", " ")
     names = {c: f"c{i}" for i, c in enumerate(carry)}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, remainder, saved
+from .common import bounded_batches, byte_texts, remainder, saved
 
 #: Word types with a vector of their own, hash classes for other words, frequent words whose counts
 #: are broadcast (a fixed bound; counts of other words are joined), dimensions of a vector.
@@ -178,6 +178,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     probabilities of the text. If every row is held out, no word is known and the model is uniform
     over types. Repeated rows are scored as often as they occur. An empty table gives no rows.
     """
+    docs = bounded_batches(docs)
     rows = docs.select(F.col(id_col).alias("id"), (remainder(id_col, folds) == fold).alias("held_out"), F.col(text_col).alias("text"))
     training = rows.filter(~F.col("held_out")).select("text")
     counts = saved(training.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))

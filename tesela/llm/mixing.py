@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, small, with_row_ids, word_count
+from .common import bounded_batches, saved, small, with_row_ids, word_count
 from .sentencepiece_codec import mix64
 
 #: Words of a block; documents of a packing chunk, about; output shards.
@@ -156,6 +156,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     taken, the row has its exact text, else the taken words with one space between them; n_chars is
     that text's length.
     """
+    docs = bounded_batches(docs)
     mix = Mix(docs, carry=True, **how)
     parts = mix.pieces.join(mix.uses(), ["sid", "block"]).withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int"))))
     spans = parts.groupBy("rid", "turn").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))  # of one text

@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: A word of more characters is cut into units of this many; every unit is segmented.
@@ -250,6 +252,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     Null is an empty text, which has no pieces. Equal ids and texts have equal segmentations, so
     repeated rows agree; null ids share one key. An empty table gives no rows.
     """
+    docs = bounded_batches(docs)
     proto = read_model(docs.sparkSession, model)
 
     def run(batches):

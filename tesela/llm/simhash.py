@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, saved, with_row_ids
+from .common import bounded_batches, byte_texts, saved, with_row_ids
 from .components import connected_components, merge_labels
 
 #: Fingerprints of a shard, as planned; of the sample that fits the tree, at most.
@@ -202,6 +202,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     differing bits link; component_id is the smallest id that links lead to (null if all ids are).
     Repeated rows and ties stay as rows. An empty table gives an empty result.
     """
+    docs = bounded_batches(docs)
     carry = [c for c in carry or [] if c not in (id_col, text_col)]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     if carry:  # texts stay with their rows for the caller

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, with_row_ids
+from .common import bounded_batches, saved, with_row_ids
 
 _BREAK = {"line": re.compile("\n"), "paragraph": re.compile(r"\n[\x20\x09\x0B-\x0D]*\n")}
 
@@ -61,6 +61,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest (id, start) stays; a null id is larger than any other, and of repeated rows one keeps
     its units. Repeats within a text go too. A null text is empty. An empty table gives no rows.
     """
+    docs = bounded_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = with_row_ids(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     found = saved(rows.select("rid", "id", "text").mapInArrow(_hash(unit, min_words), f"rid long, id {kind}, start int, stop int, digest binary"))
