@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, byte_texts, remainder
+from .common import bounded_batches, byte_texts, remainder, saved
 
 _CLASS = np.zeros(256, np.int64)
 for _i, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\n\v\f\r", b"!?", b"#*$%&<>", b"|", b".,;:", b"{}[]()=_/\\", bytes(range(128, 256))), 1):
@@ -115,7 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     docs = bounded_batches(docs)
     learn = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (remainder(id_col, folds) != 0)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     x = docs.filter(remainder(id_col, folds) != 0).select(F.col(id_col).alias("id"), text_col).mapInArrow(_features, f"id {docs.schema[id_col].dataType.simpleString()}, x array<double>")
-    parts = x.join(learn, "id").select("y", "x").mapInArrow(_moments, "y int, n long, s array<double>, ss array<double>")
+    # Saved, as two Python steps in one task would take twice the workers' memory.
+    parts = saved(x.join(learn, "id").select("y", "x")).mapInArrow(_moments, "y int, n long, s array<double>, ss array<double>")
     flat = parts.select("y", "n", F.posexplode(F.concat("s", "ss")).alias("i", "v")).groupBy("y", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
     moments = {}
     for y in {r.y for r in flat}:
