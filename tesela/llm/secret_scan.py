@@ -211,5 +211,6 @@ def secret_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
     base = F.filter("spans", lambda x: x["kind_order"] < last)
-    counts = [F.size(F.filter("spans", lambda x, i=i: x["kind_order"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(RULES[:last])]
+    of = lambda i: F.filter("spans", lambda x: x["kind_order"] == i)
+    counts = [F.size(of(i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(RULES[:last])]
     return found.select(id_col, *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
