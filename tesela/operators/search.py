@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,76 +55,91 @@ def ascii_terms(column: Column) -> Column:
 
 @dataclass
 class TextIndex:
-    """postings (key, term, tf), documents (key, length, norm), and the corpus figures.
+    """Ranked search over the analysed terms of a text column.
 
-    Rows with a null text are not indexed; a text without terms counts in ``n``.
+    Rows with a null text are not indexed; a text without terms counts. A query makes one slim table
+    (key, length, how often each of its terms occurs) by a map over the texts; corpus figures are one
+    aggregation of it and scores are expressions over it, so nothing but the answer is shuffled.
     """
 
-    postings: DataFrame
-    documents: DataFrame
-    n: int
-    mean_length: float
+    rows: DataFrame  # key, terms
     key: str
     split: Callable[[str], list[str]]
 
     @classmethod
     def build(cls, df: DataFrame, key: str, column: str, terms: Callable[[Column], Column] = analysed, split=analyse) -> TextIndex:
-        rows = df.filter(F.col(column).isNotNull()).select(F.col(key).alias("key"), terms(F.col(column)).alias("terms"))
-        documents = rows.select("key", F.size("terms").alias("length"))
-        postings = rows.select("key", F.explode("terms").alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
-        n, mean = documents.agg(F.count(F.lit(1)), F.avg("length")).first()
-        return cls(postings, documents, n, mean or 0.0, key, split)
-
-    def frequencies(self, terms: list[str]) -> dict[str, int]:
-        """df of each of a query's terms."""
-        rows = self.postings.filter(F.col("term").isin(terms)).groupBy("term").count().collect()
-        return {r.term: r["count"] for r in rows}
-
-    def bm25(self, query: str | list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-        """(key, score) of the texts with some term of the query."""
-        terms = list(dict.fromkeys(query if isinstance(query, list) else self.split(query)))
-        df = self.frequencies(terms)
-        idf = {t: math.log(1 + (self.n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
-        hits = self.postings.filter(F.col("term").isin(list(idf)))
-        weight = _by_term(idf)
-        length = F.lit(1.0) if not self.mean_length else F.col("length") / self.mean_length
-        part = weight * (k1 + 1) * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * length))
-        return hits.join(self.documents, "key").groupBy("key").agg(F.sum(part).alias("score")).withColumnRenamed("key", self.key)
-
-    def tf_idf(self, query: str | list[str]) -> DataFrame:
-        """(key, score): cosine of (1 + log10 tf) document weights and tf-idf query weights."""
-        terms = query if isinstance(query, list) else self.split(query)
-        df = self.frequencies(list(set(terms)))
-        weights = {t: (1 + math.log10(terms.count(t))) * math.log10(self.n / d) for t, d in df.items()}
+        return cls(df.filter(F.col(column).isNotNull()).select(F.col(key).alias("key"), terms(F.col(column)).alias("terms")), key, split)
+
+    @property
+    def postings(self) -> DataFrame:
+        """(key, term, tf) of every term."""
+        return self.rows.select("key", F.explode("terms").alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+    def _slim(self, terms: list[str], norms: bool = False) -> tuple[DataFrame, int, float, list[int]]:
+        """The slim table, the number of texts, their mean length, and df of each term."""
+        hits = self.rows.select("key", F.size("terms").alias("length"), F.filter("terms", lambda x: x.isin(terms)).alias("hits"), *([_norm().alias("norm")] if norms else []))
+        times = lambda t: F.size(F.filter("hits", lambda x: x == t))
+        tf = F.array(*[times(t) for t in terms]) if terms else F.array().cast("array<int>")
+        slim = hits.withColumn("tf", tf).drop("hits")
+        n, mean, *df = slim.agg(F.count(F.lit(1)), F.avg("length"), *[F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(len(terms))]).first()
+        return slim, n, mean or 0.0, df
+
+    def _bm25(self, slim, n, mean, df, terms, scored, k1: float = 1.2, b: float = 0.75) -> Column:
+        length = F.col("length") / mean if mean else F.lit(1.0)
+        total = F.lit(0.0)
+        for i, t in enumerate(terms):
+            if t in scored:
+                idf, tf = math.log(1 + (n - df[i] + 0.5) / (df[i] + 0.5)), F.get("tf", F.lit(i))
+                total = total + idf * (k1 + 1) * tf / (tf + k1 * (1 - b + b * length) + F.when(tf == 0, 1.0).otherwise(0.0))
+        return total
+
+    def _tf_idf(self, slim, n, mean, df, terms, scored) -> Column:
+        weights = {t: (1 + math.log10(scored.count(t))) * math.log10(n / df[i]) for i, t in enumerate(terms) if t in scored and df[i]}
         size = math.sqrt(sum(w * w for w in weights.values())) or 1.0
-        tf = 1 + F.log10(F.col("tf").cast("double"))
-        norms = self.postings.groupBy("key").agg(F.sqrt(F.sum(tf * tf)).alias("norm"))
-        hits = self.postings.filter(F.col("term").isin(list(weights)))
-        part = _by_term({t: w / size for t, w in weights.items()}) * tf
-        sums = hits.groupBy("key").agg(F.sum(part).alias("dot"))
-        return sums.join(norms, "key").select(F.col("key").alias(self.key), (F.col("dot") / F.col("norm")).alias("score"))
+        total = F.lit(0.0)
+        for i, t in enumerate(terms):
+            if t in weights:
+                tf = F.get("tf", F.lit(i))
+                total = total + F.when(tf > 0, weights[t] / size * (1 + F.log10(F.greatest(tf, F.lit(1)).cast("double")))).otherwise(0.0)
+        return F.when(F.col("norm") > 0, total / F.col("norm")).otherwise(0.0)
+
+    def bm25(self, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+        """(key, score) of the texts with some term of a free query; repeated words count once."""
+        return self._ranked(self.split(query), None, "BM25", {"k1": k1, "b": b})
+
+    def tf_idf(self, query: str) -> DataFrame:
+        """(key, score): cosine of (1 + log10 tf) document weights and tf-idf query weights."""
+        return self._ranked(self.split(query), None, "TF_IDF", {})
 
     def match(self, query: str, method: str = "BM25", **options) -> DataFrame:
-        """(key, score) of the texts that satisfy a free or Boolean query."""
-        rank = self.bm25 if method.upper() == "BM25" else self.tf_idf
+        """(key, score) of the texts that satisfy a free or Boolean query; its positive terms score."""
         if not re.search(r"\b(AND|OR|NOT)\b|[()]", query):
-            return rank(query, **options)
+            return self._ranked(self.split(query), None, method.upper(), options)
         tree = parse_boolean(query, self.split)
         positive = positive_terms(tree)
         if not positive:
             raise ValueError("a query needs a term that is not negated")
-        every = sorted(set(all_terms(tree)))
-        flags = self.postings.filter(F.col("term").isin(every)).groupBy("key").agg(F.collect_set("term").alias("has"))
-        kept = flags.filter(_holds(tree, F.col("has"))).select(F.col("key").alias(self.key))
-        scored = rank(positive, **options)
-        return kept.join(scored, self.key, "left").select(self.key, F.coalesce("score", F.lit(0.0)).alias("score"))
+        return self._ranked(positive, tree, method.upper(), options)
+
+    def _ranked(self, scored: list[str], tree, method: str, options: dict) -> DataFrame:
+        terms = list(dict.fromkeys([*scored, *all_terms(tree)]))
+        slim, n, mean, df = self._slim(terms, method == "TF_IDF")
+        score = (self._bm25 if method == "BM25" else self._tf_idf)(slim, n, mean, df, terms, scored, **options)
+        has = {t: F.get("tf", F.lit(i)) > 0 for i, t in enumerate(terms)}
+        holds = reduce(Column.__or__, [has[t] for t in terms], F.lit(False)) if tree is None else _holds(tree, has)
+        return slim.filter(holds).select(F.col("key").alias(self.key), score.alias("score"))
+
+
+def _norm() -> Column:
+    """Length of the vector of (1 + log10 tf) of a text, over the runs of its sorted terms."""
+    weight = lambda k: F.pow(1 + F.log10(k.cast("double")), 2)
+    start = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("k"), F.lit(0.0).alias("sum"))
 
+    def step(acc, x):
+        same = acc["term"].eqNullSafe(x)
+        return F.struct(x.alias("term"), F.when(same, acc["k"] + 1).otherwise(1).alias("k"), F.when(same | (acc["k"] == 0), acc["sum"]).otherwise(acc["sum"] + weight(acc["k"])).alias("sum"))
 
-def _by_term(values: dict[str, float]) -> Column:
-    """A weight for each of a query's few terms."""
-    if not values:
-        return F.lit(0.0)
-    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("term"))
+    return F.aggregate(F.array_sort("terms"), start, step, lambda acc: F.sqrt(acc["sum"] + F.when(acc["k"] > 0, weight(F.greatest(acc["k"], F.lit(1)))).otherwise(0.0)))
 
 
 # Boolean queries: ("term", t), ("and", a, b), ("or", a, b), ("not", a), or None for a word that the
@@ -193,9 +209,9 @@ def positive_terms(tree, sign: bool = True) -> list[str]:
     return [t for part in tree[1:] for t in positive_terms(part, sign != (tree[0] == "not"))]
 
 
-def _holds(tree, has: Column) -> Column:
+def _holds(tree, has: dict[str, Column]) -> Column:
     if tree[0] == "term":
-        return F.array_contains(has, tree[1])
+        return has[tree[1]]
     if tree[0] == "not":
         return ~_holds(tree[1], has)
     a, b = _holds(tree[1], has), _holds(tree[2], has)
