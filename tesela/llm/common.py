@@ -58,6 +58,11 @@ def with_row_ids(df: DataFrame, name: str = "rid") -> DataFrame:
     return saved(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+def plain_names(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """``df`` with other columns than ``keep`` under names that clash with none of an operator's."""
+    return df.toDF(*[c if c in keep else f"other_{i}" for i, c in enumerate(df.columns)])
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast when its counted ``rows`` are within BROADCAST_ROWS."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, bounded_batches, saved, text_of
+from .common import SPACE, bounded_batches, plain_names, saved, text_of
 
 _GAPS = re.compile(rb"[\x20\x09-\x0D]+")
 
@@ -129,3 +129,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("is_first") & ~F.coalesce("goes_on", F.lit(False))).alias("kept"), "text_sha256",
         *[F.col(v).alias(k) for k, v in names.items()],
     )
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that exact dedup keeps."""
+    columns, docs = docs.columns, plain_names(docs)
+    out = exact_dedup(docs, carry=[c for c in docs.columns if c != "doc_id"])
+    return out.filter("kept").select(*docs.columns).toDF(*columns)

@@ -82,6 +82,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     for r in grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("target").alias("target")).collect():  # BUCKETS rows at most
         raw[r.b] += r.raw
         target[r.b] += r.target
+    if target.sum() == BUCKETS:  # no target, no preference
+        return [0.0] * BUCKETS
     return (np.log(target / target.sum()) - np.log(raw / raw.sum())).tolist()
 
 
@@ -91,7 +93,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
 
     base_failed: fewer than 10 words, or over a fifth of them in repeated 5-word windows. kept: not
     base_failed and llr >= ``threshold``. ``trusted`` names the ids of the target; with none, every
-    ratio is near 0 and kept follows the base rules. A null text has no words and fails. Repeated
+    ratio is 0 and kept follows the base rules. A null text has no words and fails. Repeated
     rows count as often as they occur. An empty table gives no rows.
     """
     ratios = log_ratios(docs, trusted, id_col, text_col)

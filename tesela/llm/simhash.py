@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, byte_texts, saved, with_row_ids
+from .common import bounded_batches, byte_texts, plain_names, saved, with_row_ids
 from .components import connected_components, merge_labels
 
 #: Fingerprints of a shard, as planned; of the sample that fits the tree, at most.
@@ -195,7 +195,8 @@ def link_fingerprints(distinct: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, carry: list[str] | None = None) -> DataFrame:
-    """One row per row of ``docs``: rid, id, fp (the 64 bits as a long), component_id, and ``carry``.
+    """One row per row of ``docs``: rid, id, fp (the 64 bits as a long), component_id, and, with
+    ``carry``, the text and those columns.
 
     Words are lower-cased (A-Z); a text with fewer words than ``width`` is one shingle, one without
     words has fingerprint 0 and links like any other; null is empty. Rows with ``radius`` or fewer
@@ -203,9 +204,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Repeated rows and ties stay as rows. An empty table gives an empty result.
     """
     docs = bounded_batches(docs)
-    carry = [c for c in carry or [] if c not in (id_col, text_col)]
+    with_text, carry = carry is not None, [c for c in carry or [] if c not in (id_col, text_col)]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
-    if carry:  # texts stay with their rows for the caller
+    if with_text:  # texts stay with their rows for the caller
         rows = rows.withColumn("_raw", F.col("_text"))
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"]
     prints = with_row_ids(rows.mapInArrow(_fingerprints(width), ", ".join([*types, "fp long"])))
@@ -216,7 +217,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     moved = linked.join(lowest, "label").select(F.col("node").alias("fp"), "least")
     reps = saved(distinct.join(moved, "fp", "left").select("fp", F.when(F.col("least").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id")))
     out = prints.join(reps, "fp")
-    return out.select("rid", F.col("id").alias(id_col), "fp", "component_id", *([F.col("_raw").alias(text_col)] if carry else []), *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
+    return out.select("rid", F.col("id").alias(id_col), "fp", "component_id", *([F.col("_raw").alias(text_col)] if with_text else []), *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
@@ -224,9 +225,9 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
     Of each group the row with the smallest id stays, of several with that id one of them.
     """
-    columns = docs.columns
-    groups = simhash_groups(docs, carry=[c for c in columns if c not in ("doc_id", "text")], **how)
+    columns, docs = docs.columns, plain_names(docs)
+    groups = simhash_groups(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text")], **how)
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid"))
     # By fingerprint first: a component may hold a third of all rows.
     keep = groups.groupBy("component_id", "fp").agg(lead.alias("r")).groupBy("component_id").agg(F.min("r").alias("r")).select(F.col("r.rid").alias("rid"))
-    return groups.join(keep, "rid", "left_semi").select(*columns)
+    return groups.join(keep, "rid", "left_semi").select(*docs.columns).toDF(*columns)
