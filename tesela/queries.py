@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geo, vectors
-from .operators import service
+from .operators import evaluation, language, media, service
 from .operators.search import TextIndex, ascii_terms
 from .plans.engine import Engine
 
@@ -296,6 +296,65 @@ def weighted_sample(spark, sf_dir):
     return service.weighted_sample(table(spark, sf_dir, "customer"), "c_nationkey", "c_custkey", "c_custkey", 3, 11).select("c_nationkey", "c_custkey", "place")
 
 
+def resemblance(spark, sf_dir):
+    near = table(spark, sf_dir, "events").select((F.col("event_id") % 9).alias("shot"), F.col("user_id").alias("person"), (F.col("value") / 100).alias("score"))
+    return rounded(media.resemblance(near, "shot", "person", "score"), {"score": 6})
+
+
+def class_medoid(spark, sf_dir):
+    return media.medoids(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+def bag_of_words(spark, sf_dir):
+    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("obj"), (F.col("l_partkey") % 64).alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    return rounded(media.bag_tf_idf(counts, "obj", "word", "n"), {"weight": 6})
+
+
+def media_fragments(spark, sf_dir):
+    part = F.concat(F.lit("song"), F.col("doc_id").cast("string"), F.lit(".mp3#t="), (F.col("doc_id") % 50).cast("string"), F.lit(","), F.lit("1:"), F.lpad((F.col("doc_id") % 60).cast("string"), 2, "0"))
+    return table(spark, sf_dir, "documents").select("doc_id", media.fragment(part).alias("f")).select("doc_id", "f.path", "f.begin", F.col("f.end").alias("stop"))
+
+
+def window_loudness(spark, sf_dir):
+    blocks = table(spark, sf_dir, "events").select("user_id", (F.pmod(F.col("event_id"), F.lit(97)) * 0.1).alias("start"), (F.abs("value") / 1000).alias("power"))
+    return rounded(media.loudness(blocks, "user_id", "start", "power", 2.0, 1.0), {"dbfs": 4})
+
+
+def box_tracks(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    boxes = e.select((F.col("user_id") % 20).alias("session"), F.floor(F.col("event_id") / 20).cast("double").alias("ts"), (F.col("event_id") % 5 * 8.0).alias("x"), F.lit(0.0).alias("y"), F.lit(10.0).alias("w"), F.lit(10.0).alias("h"))
+    return media.track(boxes, "session", "ts", lost_seconds=30.0)
+
+
+def lang_guess(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(language.guess_language(F.col("text")).alias("guess"), "lang").groupBy("guess", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+def roc_auc(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.floor("value").alias("score"), (F.col("event_type") == "click").alias("truth"))
+    return rounded(evaluation.auc(e, "score", "truth").select("auc"), {"auc": 6})
+
+
+def tar_at_far(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.floor("value").alias("score"), (F.col("event_type") == "click").alias("truth"))
+    return rounded(evaluation.tar_at_far(e, "score", "truth", 0.1), {"tar": 6})
+
+
+def rater_kappa(spark, sf_dir):
+    return rounded(evaluation.kappa(table(spark, sf_dir, "labels"), "quality", "toxic"), {"kappa": 6})
+
+
+def weight_search(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    c = e.groupBy("user_id", "event_type").agg(F.avg("value").alias("a"), F.count(F.lit(1)).cast("double").alias("b")).withColumn("hit", F.col("event_type") == "click")
+    return rounded(evaluation.best_weights(c, "user_id", "event_type", "hit", ["a", "b"], 4, 2), {"ndcg": 6, "hit_rate": 6})
+
+
+def clean_pages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "\n\n"), lambda p: F.concat(F.lit("Header\n"), p)).alias("pages"))
+    return language.cleaned(docs, "doc_id", "pages")
+
+
 _FRAME: dict[str, tuple[Callable, str | None]] = {
     "term_df": (term_df, _TERMS + " SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tf GROUP BY term"),
     "knn_cosine": (_knn("cosine"), f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 10"),
@@ -325,6 +384,18 @@ _FRAME: dict[str, tuple[Callable, str | None]] = {
     "citation_counts": (citation_counts, "WITH c AS (SELECT unnest(regexp_extract_all(text || ' [1, 3] and [' || doc_id % 9 || ']', '\\[(\\d+(?:\\s*,\\s*\\d+)*)\\]', 1)) AS g FROM documents), n AS (SELECT CAST(trim(unnest(string_split(g, ','))) AS INTEGER) AS cited FROM c) SELECT cited, count(*) AS n FROM n GROUP BY cited"),
     "systematic_sample": (systematic_sample, f"SELECT c_custkey, round({_lat('c_custkey')}, 6) AS lat FROM customer WHERE (c_custkey - 1) % 7 = 0"),
     "weighted_sample": (weighted_sample, None),
+    "resemblance": (resemblance, "WITH b AS (SELECT event_id % 9 AS shot, user_id AS person, max(value / 100) AS s FROM events GROUP BY ALL), f AS (SELECT shot, min(s) AS floor FROM b GROUP BY shot), p AS (SELECT DISTINCT person FROM b) SELECT p.person, round(avg(coalesce(b.s, f.floor)), 6) AS score FROM p CROSS JOIN f LEFT JOIN b ON b.shot = f.shot AND b.person = p.person GROUP BY p.person"),
+    "class_medoid": (class_medoid, "WITH u AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS v FROM u GROUP BY ALL), l AS (SELECT label, list(v ORDER BY i) AS v FROM m GROUP BY label) SELECT label, arg_min(vec_id, (-round(list_cosine_similarity(" + _E + ", v), 9), vec_id)) AS vec_id FROM embeddings JOIN l USING (label) GROUP BY label"),
+    "bag_of_words": (bag_of_words, "WITH c AS (SELECT l_orderkey AS obj, l_partkey % 64 AS word, count(*) AS n FROM lineitem GROUP BY ALL), t AS (SELECT count(DISTINCT obj) AS t FROM c) SELECT obj, word, round(n / sum(n) OVER (PARTITION BY obj) * ln(t / count(*) OVER (PARTITION BY word)), 6) AS weight FROM c, t"),
+    "media_fragments": (media_fragments, "SELECT doc_id, 'song' || doc_id || '.mp3' AS path, CAST(doc_id % 50 AS DOUBLE) AS begin, CAST(60 + doc_id % 60 AS DOUBLE) AS stop FROM documents"),
+    "window_loudness": (window_loudness, "WITH b AS (SELECT user_id, event_id % 97 AS k, abs(value) / 1000 AS p FROM events), w AS (SELECT user_id, unnest(range(greatest(0, k // 10 - 1), k // 10 + 1)) AS w, p FROM b), m AS (SELECT user_id, w, avg(p) AS p FROM w GROUP BY ALL), d AS (SELECT user_id, w, CASE WHEN p <= 1e-12 THEN -120e0 ELSE greatest(-120e0, 10 * log10(p)) END AS d FROM m) SELECT user_id, w AS \"window\", round(d, 4) AS dbfs, d < -50 AS silent FROM d"),
+    "box_tracks": (box_tracks, None),
+    "lang_guess": (lang_guess, "WITH w AS (SELECT lang, lower(text) AS t, regexp_extract_all(lower(text), '[\\p{L}]+') AS ws FROM documents), c AS (SELECT lang, len(list_filter(ws, lambda x: x IN (" + ", ".join(f"'{w}'" for w in language.ENGLISH) + "))) AS en, len(list_filter(ws, lambda x: x IN (" + ", ".join(f"'{w}'" for w in language.SPANISH) + "))) + len(regexp_extract_all(t, '[ñáéíóúü¿¡]')) AS es FROM w) SELECT CASE WHEN en > es THEN 'en' WHEN es > en THEN 'es' ELSE 'unknown' END AS guess, lang, count(*) AS n FROM c GROUP BY ALL"),
+    "roc_auc": (roc_auc, "WITH a AS (SELECT CAST(floor(value) AS BIGINT) AS s, count(*) FILTER (WHERE event_type = 'click') AS p, count(*) FILTER (WHERE event_type <> 'click') AS q FROM events GROUP BY 1), c AS (SELECT p, q, sum(p) OVER (ORDER BY s DESC) AS up FROM a) SELECT round(sum(q * (up - p / 2)) / (sum(p) * sum(q)), 6) AS auc FROM c"),
+    "tar_at_far": (tar_at_far, "WITH a AS (SELECT CAST(floor(value) AS BIGINT) AS s, count(*) FILTER (WHERE event_type = 'click') AS p, count(*) FILTER (WHERE event_type <> 'click') AS q FROM events GROUP BY 1), c AS (SELECT sum(p) OVER (ORDER BY s DESC) / sum(p) OVER () AS tpr, sum(q) OVER (ORDER BY s DESC) / sum(q) OVER () AS fpr FROM a) SELECT round(coalesce(max(tpr), 0), 6) AS tar FROM c WHERE fpr <= 1e-1"),
+    "rater_kappa": (rater_kappa, "WITH t AS (SELECT count(*) AS n, avg(CASE WHEN quality = toxic THEN 1e0 ELSE 0 END) AS o, avg(quality) AS a, avg(toxic) AS b FROM labels) SELECT round((o - (a * b + (1 - a) * (1 - b))) / (1 - (a * b + (1 - a) * (1 - b))), 6) AS kappa FROM t"),
+    "weight_search": (weight_search, None),
+    "clean_pages": (clean_pages, None),
 }
 
 
