@@ -108,6 +108,90 @@ def stem_english(word: str) -> str:
     return w.replace("Y", "y")
 
 
+# Spanish stemming after the published Snowball description.
+
+_ES_V = "aeiouáéíóúü"
+_PRONOUNS = sorted("me se sela selo selas selos la le lo las les los nos".split(), key=len, reverse=True)
+_PLAIN = "anza anzas ico ica icos icas ismo ismos able ables ible ibles ista istas oso osa osos osas amiento amientos imiento imientos".split()
+_ACTION = "adora ador ación acion adoras adores aciones ante antes ancia ancias".split()
+_Y_VERBS = "ya ye yan yen yeron yendo yo yó yas yes yais yamos".split()
+_VERBS = [v + "r" + e for v in "aei" for e in "ían ías án ás íais ía éis íamos emos á é".split()] + (
+    "aba ada ida ía ara iera ad ed id ase iese aste iste an aban ían aran ieran asen iesen aron ieron ado ido ando iendo ió ar er ir as abas adas idas ías aras "
+    "ieras ases ieses ís áis abais íais arais ierais aseis ieseis asteis isteis ados idos amos ábamos íamos imos áramos iéramos iésemos ásemos"
+).split()
+_ACUTE = str.maketrans("áéíóú", "aeiou")
+
+
+def _spanish_regions(w: str) -> tuple[int, int, int]:
+    """Where RV, R1 and R2 begin."""
+
+    def after(begin: int) -> int:
+        return next((i + 1 for i in range(begin + 1, len(w)) if w[i] not in _ES_V and w[i - 1] in _ES_V), len(w))
+
+    rv = len(w)
+    if len(w) > 2:
+        if w[1] not in _ES_V:
+            rv = next((i + 1 for i in range(2, len(w)) if w[i] in _ES_V), len(w))
+        elif w[0] in _ES_V:
+            rv = next((i + 1 for i in range(2, len(w)) if w[i] not in _ES_V), len(w))
+        else:
+            rv = 3
+    r1 = after(0)
+    return rv, r1, after(r1)
+
+
+def _longest(w: str, ends: list[str], begin: int = 0) -> str:
+    return max((e for e in ends if w.endswith(e) and len(w) - len(e) >= begin), key=len, default="")
+
+
+def _standard_suffix(w: str, r1: int, r2: int) -> str:
+    """The word after the first step; the same word if nothing applies."""
+    groups = [(_PLAIN, "", []), (_ACTION, "", ["ic"]), (["logía", "logías"], "log", []), (["ución", "uciones", "ucion"], "u", []), (["encia", "encias"], "ente", []), (["mente"], "", ["ante", "able", "ible"]), (["idad", "idades"], "", ["abil", "ic", "iv"]), (["iva", "ivo", "ivas", "ivos"], "", ["at"])]
+    end = _longest(w, [e for ends, *_ in groups for e in ends] + ["amente"])
+    if not end:
+        return w
+    stem = w[: -len(end)]
+    if end == "amente":
+        if len(stem) < r1:
+            return w
+        before = _longest(stem, ["iv", "os", "ic", "ad"], r2)
+        stem = stem[: len(stem) - len(before)]
+        return stem[:-2] if before == "iv" and stem.endswith("at") and len(stem) - 2 >= r2 else stem
+    if len(stem) < r2:
+        return w
+    _, to, befores = next(g for g in groups if end in g[0])
+    return stem[: len(stem) - len(_longest(stem, befores, r2))] + to
+
+
+def stem_spanish(word: str) -> str:
+    w = word
+    rv, r1, r2 = _spanish_regions(w)
+    pronoun = next((p for p in _PRONOUNS if w.endswith(p)), "")
+    if pronoun:
+        head = w[: -len(pronoun)]
+        if (verb := _longest(head, ["iéndo", "ándo", "ár", "ér", "ír"], rv)) and len(head) >= rv:
+            w = head[: -len(verb)] + verb.translate(_ACUTE)
+        elif _longest(head, ["ando", "iendo", "ar", "er", "ir"], rv) or (head.endswith("uyendo") and len(head) - 5 >= rv):
+            w = head
+    first = _standard_suffix(w, r1, r2)
+    if first != w:
+        w = first
+    elif (end := _longest(w, _Y_VERBS, rv)) and w[: -len(end)].endswith("u"):
+        w = w[: -len(end)]
+    elif end := _longest(w, [*_VERBS, "en", "es", "éis", "emos"], rv):
+        w = w[: -len(end)]
+        if end in ("en", "es", "éis", "emos") and w.endswith("gu"):
+            w = w[:-1]
+    if end := _longest(w, ["os", "a", "o", "á", "í", "ó", "e", "é"], rv):
+        w = w[: -len(end)]
+        if end in ("e", "é") and w.endswith("gu") and len(w) - 1 >= rv:
+            w = w[:-1]
+    return w.translate(_ACUTE)
+
+
+STEMMERS = {"en": stem_english, "es": stem_spanish}
+
+
 # Cleaning: lines that repeat at the edges of pages go, and hyphens at line ends are decided by what
 # else the document has.
 

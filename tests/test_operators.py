@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesela.functions import geo, vectors
-from tesela.operators import service
+from tesela.operators import language, media, service
 from tesela.operators.search import TextIndex, analyse, fold, parse_boolean
 from tesela.sources.loader import read_csv, read_ndjson
 from tesela.streaming.ingest import append_to, stream_ndjson
@@ -20,6 +20,33 @@ def test_fold_and_analyse():
     assert parse_boolean("a b AND NOT c") == ("or", ("term", "a"), ("and", ("term", "b"), ("not", ("term", "c"))))
 
 
+@pytest.mark.parametrize("word, stem", [
+    ("caresses", "caress"), ("ties", "tie"), ("consistency", "consist"), ("relational", "relat"), ("hopping", "hop"), ("hoping", "hope"), ("generously", "generous"), ("happy", "happi"),
+    ("running", "run"), ("agreed", "agre"), ("bled", "bled"), ("rationalize", "ration"), ("controlled", "control"), ("sky", "sky"), ("dying", "die"),
+])
+def test_english_stems(word, stem):
+    assert language.stem_english(word) == stem
+
+
+@pytest.mark.parametrize("word, stem", [
+    ("chicos", "chic"), ("chica", "chic"), ("torneos", "torne"), ("toreado", "tor"), ("cheques", "chequ"), ("rápidamente", "rapid"), ("ciudades", "ciudad"),
+    ("nacionalidad", "nacional"), ("tecnología", "tecnolog"), ("comiéndolos", "com"), ("pagues", "pag"), ("ñandú", "ñandu"),
+])
+def test_spanish_stems(word, stem):
+    assert language.stem_spanish(word) == stem
+
+
+def test_pages_are_cleaned():
+    pages = ["Title\nself-at-\ntention works\n1", "Title\nwell-\nknown facts and well-known data self-attention\n2", "Title\nexam-\nple\n3"]
+    assert language.clean_pages(pages) == ["self-attention works", "well-known facts and well-known data self-attention", "example"]
+
+
+def test_tracks_follow_boxes(spark):
+    boxes = [(1, 0.0, 0.0, 0.0, 10.0, 10.0), (1, 0.0, 50.0, 0.0, 10.0, 10.0), (1, 0.5, 2.0, 0.0, 10.0, 10.0), (1, 0.5, 90.0, 0.0, 10.0, 10.0), (1, 9.0, 2.0, 0.0, 10.0, 10.0)]
+    df = spark.createDataFrame(boxes, "session int, ts double, x double, y double, w double, h double")
+    assert [r.track_id for r in media.track(df, "session", "ts").orderBy("ts", "x").collect()] == [1, 2, 1, 3, 4]
+
+
 def test_bm25_and_tf_idf_by_hand(spark):
     rng = random.Random(5)
     texts = [" ".join(rng.choices(["uno", "dos", "tres", "casa", "perro", "gato"], k=rng.randint(0, 12))) for _ in range(40)] + [None]
