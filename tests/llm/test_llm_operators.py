@@ -292,9 +292,9 @@ def test_substring_dedup(docs, rows, unit):
     for k, r in sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0, x[0])):
         text, at, kept, gone = r[1] or "", 0, "", []
         for a, b, d in substring_dedup.units(text, unit, 8):
-            if d in seen:
+            if d in seen and a >= max([0, *(y for _, y in gone)]):
                 kept += text[at:a]
-                at = b + (text[b : b + 1] == "\n")
+                at = b + (text[b : b + 1] == "\n" and text[a - 1 : a] in ("", "\n"))
                 gone.append((a, b))
             seen.add(d)
         left[r[0], kept + text[at:]] += 1
@@ -303,6 +303,18 @@ def test_substring_dedup(docs, rows, unit):
     assert Counter((r.doc_id, tuple(tuple(s) for s in r.spans)) for r in out) == spans
 
 
+def test_substring_dedup_inside_lines(spark):
+    """A passage within other lines goes but for its cut ends; a removed line's sentences stay where the line first was."""
+    whole = "Alpha beta gamma delta epsilon zeta eta theta. Iota kappa lambda mu nu xi omicron pi rho! Tau one two three four five six seven"
+    texts = [whole, "Other start " + whole + " other end.", whole, "x " * 9 + "iota kappa lambda mu nu xi omicron pi rho! y " + whole.lower()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in substring_dedup.substring_dedup(docs).collect()}
+    assert out[0].text == whole and out[2].text == ""
+    assert out[1].text == "Other start Alpha beta gamma delta epsilon zeta eta theta. Tau one two three four five six seven other end."
+    assert all(texts[1][s.start : s.stop] == " Iota kappa lambda mu nu xi omicron pi rho!" for s in out[1].spans) and len(out[1].spans) == 1
+    assert "iota" in out[3].text and len(out[3].spans) == 2
+
+
 def test_quality_rules(docs, rows, labels, none):
     out = quality_rules.quality_rules(docs, labels.filter("quality = 1").select("doc_id")).collect()
     want = Counter()
