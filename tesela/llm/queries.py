@@ -84,20 +84,20 @@ def oracle_sql() -> dict[str, str]:
             l AS (SELECT doc_id, ls[i] AS line, CAST(coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS s
                   FROM d, range(1, len(ls) + 1) AS r(i)),
             p AS (SELECT *, regexp_extract_all(line, '[^.!?]+[.!?]*|[.!?]+') AS ps FROM l),
-            q AS (SELECT doc_id, s AS at, i, ps[i] AS part, s + CAST(coalesce(list_sum(list_transform(ps[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+            q AS (SELECT doc_id, s AS line_at, i, ps[i] AS part, s + CAST(coalesce(list_sum(list_transform(ps[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
                   FROM p, range(1, len(ps) + 1) AS r(i)),
-            u AS (SELECT doc_id, s AS at, 0 AS i, line AS part, s FROM l
-                  UNION ALL SELECT q.* FROM q JOIN p ON q.doc_id = p.doc_id AND q.at = p.s WHERE len(ps) > 1),
-            n AS (SELECT doc_id, at, i, s, s + length(part) AS e, list_filter(regexp_split_to_array(
+            u AS (SELECT doc_id, s AS line_at, 0 AS i, line AS part, s FROM l
+                  UNION ALL SELECT q.* FROM q JOIN p ON q.doc_id = p.doc_id AND q.line_at = p.s WHERE len(ps) > 1),
+            n AS (SELECT doc_id, line_at, i, s, s + length(part) AS e, list_filter(regexp_split_to_array(
                     translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM u),
             k AS (SELECT *, row_number() OVER (PARTITION BY array_to_string(ws, ' ') ORDER BY doc_id, s) AS r FROM n WHERE len(ws) >= 8),
-            whole AS (SELECT doc_id, at, s, e FROM k WHERE r > 1 AND i = 0),
-            inner_ AS (SELECT k.* FROM k ANTI JOIN whole w ON k.doc_id = w.doc_id AND k.at = w.at WHERE r > 1 AND i > 0),
+            whole AS (SELECT doc_id, line_at, s, e FROM k WHERE r > 1 AND i = 0),
+            inner_ AS (SELECT k.* FROM k ANTI JOIN whole w ON k.doc_id = w.doc_id AND k.line_at = w.line_at WHERE r > 1 AND i > 0),
             gone AS (SELECT doc_id, s, e FROM whole UNION ALL SELECT doc_id, s, e FROM inner_),
-            rests AS (SELECT q.doc_id, q.at, coalesce(string_agg(q.part, '' ORDER BY q.i) FILTER (WHERE g.i IS NULL), '') AS line
-                  FROM q LEFT JOIN inner_ g ON q.doc_id = g.doc_id AND q.at = g.at AND q.i = g.i GROUP BY ALL),
+            rests AS (SELECT q.doc_id, q.line_at, coalesce(string_agg(q.part, '' ORDER BY q.i) FILTER (WHERE g.i IS NULL), '') AS line
+                  FROM q LEFT JOIN inner_ g ON q.doc_id = g.doc_id AND q.line_at = g.line_at AND q.i = g.i GROUP BY ALL),
             kept AS (SELECT l.doc_id, coalesce(c.line, l.line) AS line, l.s, w.s IS NOT NULL AS cut
-                  FROM l LEFT JOIN rests c ON l.doc_id = c.doc_id AND l.s = c.at LEFT JOIN whole w ON l.doc_id = w.doc_id AND l.s = w.s),
+                  FROM l LEFT JOIN rests c ON l.doc_id = c.doc_id AND l.s = c.line_at LEFT JOIN whole w ON l.doc_id = w.doc_id AND l.s = w.s),
             texts AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY s) FILTER (WHERE NOT cut) AS rest, arg_max(cut, s) AS last_cut,
                       count(*) FILTER (WHERE NOT cut) AS lines FROM kept GROUP BY doc_id),
             spans AS (SELECT doc_id, count(*) AS n, string_agg(s || ':' || e, ',' ORDER BY s) AS removed FROM gone GROUP BY doc_id),
