@@ -49,13 +49,13 @@ def _bucket(h: Column) -> Column:
 def _window_repeats() -> Column:
     """Words in windows of five words that occur twice or more in the text.
 
-    Hashes of the windows tell which texts have none; the windows themselves are compared after.
+    Hashes of their first and last word pairs tell which texts have none; the windows themselves are
+    compared after.
     """
     width = 5
     n = F.size("words") - (width - 1)
     starts = F.sequence(F.lit(1), n)
-    h4 = _chain(F.col("h2"), _after(F.col("h2"), 2))
-    hashes = _chain(h4, _after(F.col("h"), 4))
+    hashes = _chain(F.col("h2"), _after(F.col("h2"), width - 2))
     texts = F.transform(starts, lambda i: F.struct(F.array_join(F.slice("words", i, width), " ").alias("w"), i.alias("i")))
 
     def repeated(sorted_: Column) -> Column:
@@ -100,7 +100,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     table = F.lit(",".join(f"{x:.6g}" for x in ratios))
     table = F.split(table, ",").cast("array<double>")  # folded into one constant
     rows = with_hashes(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("words", words_of(F.col("text"))))
-    letters = F.aggregate("words", F.lit(0), lambda acc, w: acc + F.length(w))
+    letters = F.length(F.array_join("words", ""))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
     add = lambda acc, h: acc + F.get(table, _bucket(h))
     ratio = F.aggregate("h", F.lit(0.0), add) + F.aggregate("h2", F.lit(0.0), add)
