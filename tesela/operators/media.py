@@ -1,7 +1,10 @@
-"""Media fragments, visual words, loudness, people and tracks, over precomputed descriptors."""
+"""Media fragments, sound descriptors, visual words, loudness, people and tracks."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +35,58 @@ def fragment(reference: Column) -> Column:
     return F.when(F.coalesce(wrong, F.lit(False)), F.raise_error(F.concat(F.lit("malformed fragment: "), reference))).otherwise(made)
 
 
+@lru_cache
+def _mel_bands(rate: int, fft: int, bands: int) -> np.ndarray:
+    """Triangles of equal area over a scale that is linear up to 1 kHz and logarithmic beyond."""
+    step, corner, growth = 200 / 3, 1000.0, np.log(6.4) / 27
+    top = corner / step + np.log(rate / 2 / corner) / growth if rate / 2 > corner else rate / 2 / step
+    mel = np.linspace(0, top, bands + 2)
+    hz = np.where(mel < corner / step, mel * step, corner * np.exp(growth * (mel - corner / step)))
+    at = np.fft.rfftfreq(fft, 1 / rate)[None, :]
+    low, mid, high = (hz[i : i + bands, None] for i in range(3))
+    return np.clip(np.minimum((at - low) / (mid - low), (high - at) / (high - mid)), 0, None) * 2 / (high - low)
+
+
+def _slope(x: np.ndarray, width: int, order: int) -> np.ndarray:
+    """Derivative of that order of the least-squares polynomial of that degree around each row."""
+    half = width // 2
+    weights = np.linalg.pinv(np.vander(np.arange(-half, half + 1.0), order + 1, increasing=True))[order] * order  # order! of 1 and 2
+    padded = np.concatenate([x[:1].repeat(half, 0), x, x[-1:].repeat(half, 0)])
+    return sum(w * padded[i : i + len(x)] for i, w in enumerate(weights))
+
+
+def mfcc(samples: np.ndarray, rate: int = 16_000, coefficients: int = 13, fft: int = 512, window: int = 400, hop: int = 160, bands: int = 128, width: int = 9) -> np.ndarray:
+    """Cepstral coefficients of each window of a mono signal, then their first and second slopes;
+    no rows for an empty signal."""
+    x = np.asarray(samples, float)
+    if not len(x):
+        return np.zeros((0, 3 * coefficients), np.float32)
+    padded = np.pad(x, fft // 2)
+    hann = np.pad(0.5 - 0.5 * np.cos(2 * np.pi * np.arange(window) / window), ((fft - window) // 2, fft - window - (fft - window) // 2))
+    frames = np.lib.stride_tricks.sliding_window_view(padded, fft)[::hop]
+    mel = np.abs(np.fft.rfft(frames * hann, axis=1)) ** 2 @ _mel_bands(rate, fft, bands).T
+    level = 10 * np.log10(np.maximum(mel, 1e-10))
+    level = np.maximum(level, level.max() - 80)
+    cosines = np.cos(np.pi * np.arange(coefficients)[:, None] * (np.arange(bands) + 0.5) / bands) * np.sqrt(2 / bands)
+    cosines[0] /= np.sqrt(2)
+    base = level @ cosines.T
+    return np.hstack([base, _slope(base, width, 1), _slope(base, width, 2)]).astype(np.float32)
+
+
+def mfcc_frames(df: DataFrame, key: str, samples: str, rate: int = 16_000) -> DataFrame:
+    """(key, frame, descriptor) of each sound: an array of mono samples at ``rate``; null has none."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(parts):
+        for part in parts:
+            for k, x in zip(part[key], part[samples]):
+                rows = mfcc([] if x is None else x, rate)
+                if len(rows):
+                    yield pd.DataFrame({key: pd.Series([k] * len(rows), dtype=part[key].dtype), "frame": np.arange(len(rows)), "descriptor": list(rows)})
+
+    return df.select(key, samples).mapInPandas(run, f"`{key}` {kind}, frame long, descriptor array<float>")
+
+
 def visual_words(descriptors: DataFrame, key: str, column: str, vocabulary: list[list[float]]) -> DataFrame:
     """(key, word, n): how often the nearest of a bounded vocabulary's words occurs in each object."""
     return vectors.ivf_assign(descriptors, column, vocabulary).groupBy(key, F.col("list_id").alias("word")).agg(F.count(F.lit(1)).alias("n"))

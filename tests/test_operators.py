@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,28 @@ def test_sources(spark, tmp_path):
     (folder / "s.json").write_text('{"c": 1}\n')
     with pytest.raises(Exception, match="unknown columns"):
         read_ndjson(spark, str(folder), schema).collect()
+
+
+def test_mfcc_by_definition(spark):
+    rng = np.random.default_rng(5)
+    x = np.sin(np.arange(4000) * 2 * np.pi * 440 / 16000) + 0.01 * rng.normal(size=4000)
+    got = media.mfcc(x)
+    assert got.shape == (1 + 4000 // 160, 39) and media.mfcc([]).shape == (0, 39)
+    # A window by hand: its spectrum by the sum, its bands by their corners.
+    t = 10
+    part = np.pad(x, 256)[t * 160 : t * 160 + 512] * np.pad(np.hanning(401)[:400], 56)
+    power = np.array([abs(sum(part * np.exp(-2j * np.pi * k * np.arange(512) / 512))) ** 2 for k in range(257)])
+    to_hz = lambda m: m * 200 / 3 if m < 15 else 1000 * 6.4 ** ((m - 15) / 27)
+    corners = [to_hz(m) for m in np.linspace(0, 15 + 27 * math.log(8, 6.4), 130)]
+    bands = []
+    for a, b, c in zip(corners, corners[1:], corners[2:]):
+        w = [max(0.0, min((31.25 * k - a) / (b - a), (c - 31.25 * k) / (c - b))) for k in range(257)]
+        bands.append(10 * math.log10(max(1e-10, 2 / (c - a) * float(np.dot(w, power)))))
+    want = [sum(v * math.cos(math.pi * q * (i + 0.5) / 128) for i, v in enumerate(bands)) * math.sqrt((2 if q else 1) / 128) for q in range(13)]
+    assert got[t, 1:13] == pytest.approx(want[1:], abs=0.5) and got[t, 0] >= want[0] - 1e-3  # the loudest window bounds quiet bands
+    line = np.arange(30.0)[:, None] ** 2
+    assert media._slope(line, 9, 2)[10:20].ravel() == pytest.approx([2.0] * 10)
+    assert media._slope(line, 9, 1)[10] == pytest.approx(20.0)
+    df = spark.createDataFrame([(1, [float(v) for v in x]), (2, []), (3, None)], "id int, x array<double>")
+    rows = media.mfcc_frames(df, "id", "x").orderBy("frame").collect()
+    assert [r.id for r in rows] == [1] * len(got) and np.allclose([r.descriptor for r in rows], got)
