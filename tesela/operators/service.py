@@ -132,6 +132,11 @@ def deletions(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), less))
 
 
+def two_deletions(word: Column) -> Column:
+    """The word and all forms with one or two characters less."""
+    return F.array_distinct(F.flatten(F.transform(deletions(word), deletions)))
+
+
 def osa(a: str, b: str) -> int:
     """Edit distance with swaps of neighbours."""
     before, last = None, list(range(len(b) + 1))
@@ -149,7 +154,8 @@ def osa(a: str, b: str) -> int:
 def spell(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(word, fix): of vocabulary (term, freq) words within distance 2 that share a deletion, the
     nearest, then the most frequent, then the first; a known word stays unless a neighbour is over
-    50 times as frequent."""
+    50 times as frequent. A word of 6 letters or more that finds none takes the best within
+    distance 2 of the same initial; two deletions of each side meet for all of these."""
 
     @F.pandas_udf("int")
     def far(a, b):
@@ -161,8 +167,16 @@ def spell(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     own = F.max(F.when(F.col("d") == 0, F.col("freq"))).over(Window.partitionBy("word"))
     found = found.withColumn("own", own).filter((F.col("own").isNull()) | (F.col("d") == 0) | (F.col("freq") > 50 * F.col("own")))
     first = F.row_number().over(Window.partitionBy("word").orderBy(F.when((F.col("d") == 0), 1).otherwise(0), "d", F.desc("freq"), "term"))
-    best = found.withColumn("r", first).filter("r = 1").select("word", F.col("term").alias("fix"))
-    return words.select("word").distinct().join(best, "word", "left")
+    best = found.withColumn("r", first).filter("r = 1").select("word", "term")
+    distinct = words.select("word").distinct()
+    left = distinct.filter(F.length("word") >= 6).join(best, "word", "left_anti")
+    initial = lambda c: F.substring(c, 1, 1).alias("initial")
+    asked = left.select("word", initial("word"), F.explode(two_deletions(F.col("word"))).alias("form"))
+    keys = vocabulary.filter(F.length("term") >= 4).select("term", "freq", initial("term"), F.explode(two_deletions(F.col("term"))).alias("form"))
+    further = asked.join(keys, ["initial", "form"]).select("word", "term", "freq").distinct().withColumn("d", far("word", "term")).filter("d <= 2")
+    nearest = F.row_number().over(Window.partitionBy("word").orderBy("d", F.desc("freq"), "term"))
+    best = best.union(further.withColumn("r", nearest).filter("r = 1").select("word", "term"))
+    return distinct.join(best.withColumnRenamed("term", "fix"), "word", "left")
 
 
 def ranking_metrics(ranked: DataFrame, user: str, hit: str, rank: str, k: int = 10) -> DataFrame:

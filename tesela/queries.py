@@ -278,7 +278,7 @@ def chunk_docs(spark, sf_dir):
 
 
 def spell_fix(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.explode(ascii_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("freq")).filter("freq >= 20")
+    words = table(spark, sf_dir, "documents").select(F.explode(ascii_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("freq")).filter("freq >= 2")
     asked = words.select(F.concat(F.col("term"), F.lit("x")).alias("word"))
     return service.spell(asked, words)
 
