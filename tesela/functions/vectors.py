@@ -82,7 +82,72 @@ def kmeans(df: DataFrame, column: str, k: int, seed: int = 1234, rounds: int = 1
     return centres.tolist()
 
 
+def list_count(rows: int) -> int:
+    """Lists for ``rows`` vectors: their square root, with 39 vectors or more a list."""
+    return max(1, min(round(rows**0.5), rows // 39))
+
+
+def probe_count(lists: int) -> int:
+    """Lists that a search looks into first: the square root of their number."""
+    return max(1, round(lists**0.5))
+
+
 def ivf_knn(indexed: DataFrame, column: str, query: list[float], k: int, key: str, centroids: list[list[float]], probes: int, metric: str = "cosine") -> DataFrame:
-    """k nearest among the lists nearest to the query; list_id prunes the rest at the scan."""
-    near = sorted(range(len(centroids)), key=lambda i: sum((a - b) ** 2 for a, b in zip(centroids[i], query)))[:probes]
-    return knn(indexed.filter(F.col("list_id").isin(near)), column, query, k, key, metric)
+    """k nearest among the lists nearest to the query; list_id prunes the rest at the scan. While these
+    hold fewer than k vectors the probes are doubled, up to an exact search of all rows."""
+    near = sorted(range(len(centroids)), key=lambda i: sum((a - b) ** 2 for a, b in zip(centroids[i], query)))
+    while probes < len(near):
+        probed = indexed.filter(F.col("list_id").isin(near[:probes]))
+        if probed.filter(F.col(column).isNotNull()).limit(k).count() == k:
+            return knn(probed, column, query, k, key, metric)
+        probes = max(1, 2 * probes)
+    return knn(indexed, column, query, k, key, metric)
+
+
+def unit(a: Column) -> Column:
+    """The vector at length 1 (zero stays zero)."""
+    norm = F.sqrt(dot(a, a))
+    return F.when(norm == 0, a.cast("array<double>")).otherwise(F.transform(a.cast("array<double>"), lambda x: x / norm))
+
+
+def neighbour_ranks(df: DataFrame, column: str, key: str, centroids: list[list[float]], every: int = 100, k: int = 10) -> DataFrame:
+    """(query_id, key, score, list_rank): the exact k neighbours, by dot product, of each row whose
+    key ``every`` divides, itself left out; list_rank is the place of the neighbour's list among those
+    nearest to the query. A search of p lists finds just the neighbours with list_rank < p.
+
+    Blocks of rows are scored against blocks of queries; a task keeps k rows of each query.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    df = df.filter(F.col(column).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(column).cast("array<double>").alias(column))
+    asked = df.filter(F.col(key) % every == 0).orderBy(key).collect()
+    ids, q, c = np.array([r[0] for r in asked], np.int64), np.array([r[1] for r in asked], float), np.array(centroids, float)
+
+    def away(x):
+        return (c**2).sum(1) - 2 * x @ c.T
+
+    def run(batches):
+        best = {}
+        for batch in batches:
+            if not len(ids) or not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            x = batch.column(1).flatten().to_numpy().reshape(len(keys), -1)
+            home = away(x).argmin(axis=1)
+            for at in range(0, len(ids), 256):
+                mine = slice(at, at + 256)
+                scores = q[mine] @ x.T
+                scores[ids[mine][:, None] == keys[None]] = -np.inf
+                for j, row in enumerate(scores, at):
+                    edge = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+                    take = np.flatnonzero((row >= edge) & (row > -np.inf))
+                    best[j] = sorted(best.get(j, []) + [(-row[t], keys[t], home[t]) for t in take])[:k]
+        for j, found in best.items():
+            if found:
+                place = away(q[j]).argsort(kind="stable").argsort()
+                yield pa.RecordBatch.from_arrays([pa.array([ids[j]] * len(found), pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([-f[0] for f in found], pa.float64()), pa.array([int(place[f[2]]) for f in found], pa.int32())], names=["query_id", key, "score", "list_rank"])
+
+    near = df.mapInArrow(run, f"query_id long, `{key}` long, score double, list_rank int")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
