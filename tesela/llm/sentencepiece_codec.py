@@ -1,20 +1,25 @@
 """Operator 5, sampled piece segmentations by forward filtering and backward sampling.
 
-A text splits into units (a space with the word after it, or a run of spaces). Forward filtering
-over a unit's lattice gives, for each position, the log weight of all ways to reach it; it runs once
-for each distinct unit of a group of texts. Backward sampling walks all occurrences at once, and draws each
-edge with a counter-based generator keyed by the row's key, the unit's number and the step, so that
-a row's segmentation does not depend on how rows are dealt. Characters that no piece covers, and a
-literal word mark, are byte pieces: decoding gives back the exact text.
+A text is cut where no piece of the vocabulary spans two neighbouring characters; there its lattice
+factorises, so units are sampled independently and the text's distribution stays exact, however long
+a unit is. Forward filtering over a unit's lattice gives, for each position, the log weight of all
+ways to reach it; it runs once for each distinct unit that a task meets (a bounded store keeps the
+lattices). Backward sampling walks all occurrences of a group of texts at once, and draws each edge
+with a counter-based generator keyed by the row's key, the unit's number and the step, so that a row's
+segmentation does not depend on how rows are dealt. Characters that no piece covers, and a literal
+word mark, are byte pieces: decoding gives back the exact text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import re
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -24,9 +29,8 @@ from .common import bounded_batches
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: A word of more characters is cut into units of this many; every unit is segmented.
-UNIT = 48
-_UNITS = re.compile(rf" ?[^ ]{{1,{UNIT - 1}}}| {{1,{UNIT}}}")
+#: A store of more edges than this starts anew; lattices are rebuilt then, with the same draws.
+STORE_EDGES = 4_000_000
 
 
 class Pieces:
@@ -62,10 +66,15 @@ class Pieces:
         self._build(texts)
 
     def _build(self, texts: dict[str, int]) -> None:
-        letters = {c: k for k, c in enumerate(dict.fromkeys("".join(texts)), 1)}
-        self.letter = np.zeros(0x110000, np.int64)  # 0: in no piece
+        # Letters of pieces of several characters come first: only they can be spanned.
+        inner = dict.fromkeys("".join(t for t in texts if len(t) > 1))
+        letters = {c: k for k, c in enumerate(inner | dict.fromkeys("".join(texts)), 1)}
+        self.letter = np.zeros(0x110000, np.int32)  # 0: in no piece
         for c, k in letters.items():
             self.letter[ord(c)] = k
+        self.inner = len(inner) + 1
+        self.spans = np.zeros(self.inner**2, bool)
+        self.spans[[letters[a] * self.inner + letters[b] for t in texts for a, b in zip(t, t[1:])]] = True
         self.radix = len(letters) + 1
         moves, ends = {}, [-1]
         for text, i in texts.items():
@@ -77,11 +86,11 @@ class Pieces:
                     ends.append(-1)
                 at = moves[key]
             ends[at] = i
-        self.end = np.array(ends)
+        self.end = np.array(ends, np.int32)
         keys = np.fromiter(moves, np.int64, len(moves))
-        values = np.fromiter(moves.values(), np.int64, len(moves))
+        values = np.fromiter(moves.values(), np.int32, len(moves))
         self.bits = max(8, int(len(moves) * 4).bit_length())
-        self.table_key, self.table_to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        self.table_key, self.table_to = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
         slot = self._slot(keys)
         todo = np.arange(len(keys))
         while len(todo):
@@ -94,21 +103,38 @@ class Pieces:
             slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
 
     def step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
         """The trie's next nodes, -1 where there is none."""
-        keys = node * self.radix + letter
-        slot, out = self._slot(keys), np.full(len(keys), -1, np.int64)
-        todo = np.arange(len(keys))
-        while len(todo):
+        keys = node.astype(np.int64) * self.radix + letter
+        slot = self._slot(keys)
+        found = self.table_key[slot]
+        out = np.where(found == keys, self.table_to[slot], np.int32(-1))
+        todo = np.flatnonzero((found != keys) & (found != -1))
+        while len(todo):  # collisions, which are few
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
             found = self.table_key[slot[todo]]
             hit = found == keys[todo]
             out[todo[hit]] = self.table_to[slot[todo[hit]]]
             todo = todo[~hit & (found != -1)]
-            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
         return out
 
+    def units(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """The units of all texts in order, and how many each text has."""
+        whole = "".join(texts)
+        if not whole:
+            return [], np.zeros(len(texts), np.int64)
+        letters = self.letter[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        letters[letters >= self.inner] = 0
+        cut = np.ones(len(letters) + 1, bool)
+        np.logical_not(self.spans[letters[:-1] * self.inner + letters[1:]], out=cut[1:-1])
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        cut[ends] = True
+        at = np.flatnonzero(cut)
+        places = at.tolist()
+        return [whole[a:b] for a, b in zip(places, places[1:])], np.diff(np.searchsorted(at, ends), prepend=0)
+
     def decode(self, ids) -> bytes:
         of = self.bytes_of
         return b"".join([of[i] for i in ids])
@@ -122,92 +148,130 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Lattices:
-    """The lattices of many units with their forward weights.
+def lattices(pieces: Pieces, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(last, key, emit, to) of the lattices of units, with their forward weights.
 
-    State: a unit's start plus a position in it. Edges are in the order of the state they end in, and
-    ``key`` is that state plus the cumulative probability of its edges, so that one sorted search
-    draws the last edge of a path to a state.
+    A state is a position of a unit; ``last`` has each unit's final one. Edges are in the order of the
+    state that they end in; ``key`` is that state and, in 32 bits, the cumulative probability of its
+    edges, so that one sorted search draws the last edge of a path to a state. ``emit`` is the edge's
+    piece (or -1 - code point), ``to`` the state before it (-1: the unit's start).
     """
+    codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, units), np.int32, len(units))
+    begin = np.cumsum(sizes, dtype=np.int32) - sizes
+    place = np.arange(len(codes), dtype=np.int32) - np.repeat(begin, sizes)  # of a character in its unit
+    left = np.repeat(sizes, sizes) - place
+    letters = pieces.letter[codes]
+    state = np.arange(len(codes), dtype=np.int32) + np.repeat(np.arange(len(units), dtype=np.int32), sizes)
+    at, node, found = np.arange(len(codes), dtype=np.int32), np.zeros(len(codes), np.int32), []
+    for length in range(1, pieces.longest + 1):
+        node = pieces.step(node, letters[at + (length - 1)])
+        live = node >= 0
+        at, node = at[live], node[live]
+        piece = pieces.end[node]
+        hit = piece >= 0
+        found.append((at[hit], np.full(hit.sum(), length, np.int32), piece[hit]))
+        on = left[at] > length
+        at, node = at[on], node[on]
+        if not len(at):
+            break
+    start, length, piece = (np.concatenate(x) for x in zip(*found))
+    covered = np.zeros(len(codes), bool)
+    covered[start + length - 1] = True
+    bare = np.flatnonzero(~covered).astype(np.int32)  # no piece ends with this character
+    spelled = 1 + (codes[bare] > 0x7F).astype(np.int64) + (codes[bare] > 0x7FF) + (codes[bare] > 0xFFFF)
+    weight = np.concatenate([pieces.weight[piece], spelled * pieces.byte_weight])
+    emit = np.concatenate([piece, -1 - codes[bare].astype(np.int32)])
+    start, length = np.concatenate([start, bare]), np.concatenate([length, np.ones(len(bare), np.int32)])
+    depth, source = place[start] + length, state[start]
+    into = source + length
+    # Longest pieces first in a state: found by length, so a stable sort by state keeps lengths in order.
+    order = np.argsort(into, kind="stable")
+    by_depth = np.argsort(depth[order], kind="stable")
+    emit, source, into, weight, depth = emit[order], source[order], into[order], weight[order], depth[order]
+    d_source, d_into, d_weight, depth = source[by_depth], into[by_depth], weight[by_depth], depth[by_depth]
+    alpha = np.zeros(len(codes) + len(units))
+    heads = np.flatnonzero(np.concatenate([[True], d_into[1:] != d_into[:-1]]))
+    cuts = np.searchsorted(depth, np.arange(1, int(depth[-1]) + 2))
+    head_cuts = np.searchsorted(heads, cuts)
+    counts = np.diff(np.append(heads, len(depth)))
+    for a, b, c, d in zip(cuts[:-1].tolist(), cuts[1:].tolist(), head_cuts[:-1].tolist(), head_cuts[1:].tolist()):  # forward, all units at once
+        w = alpha[d_source[a:b]] + d_weight[a:b]
+        top = np.maximum.reduceat(w, heads[c:d] - a)
+        total = np.add.reduceat(np.exp(w - np.repeat(top, counts[c:d])), heads[c:d] - a)
+        alpha[d_into[heads[c:d]]] = top + np.log(total)
+    share = np.exp(alpha[source] + weight - alpha[into])
+    heads = np.flatnonzero(np.concatenate([[True], into[1:] != into[:-1]]))
+    counts = np.diff(np.append(heads, len(into)))
+    more, k = heads[counts > 1], 1
+    while len(more):  # running sums in each state, alike whatever else is in the group
+        share[more + k] += share[more + k - 1]
+        k += 1
+        more = more[into[np.minimum(more + k, len(into) - 1)] == into[more]]
+        more = more[more + k < len(into)]
+    bound = np.minimum(share * 2.0**32, 2.0**32 - 1).astype(np.int64)
+    bound[heads + counts - 1] = 2**32 - 1
+    last = begin + sizes + np.arange(len(units), dtype=np.int32)
+    opens = np.zeros(len(alpha), bool)
+    opens[begin + np.arange(len(units), dtype=np.int32)] = True
+    return last, (into.astype(np.int64) << 32) + bound, emit, np.where(opens[source], np.int32(-1), source)
+
+
+class Store:
+    """The lattices of the units that a task has met, up to STORE_EDGES."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = defaultdict(count().__next__)
+        self.states = self.edges = 0
+        self.last, self.key, self.emit, self.to = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def numbers(self, units: list[str]) -> np.ndarray:
+        """The number of each unit in the store, after those that are new were added."""
+        if self.edges > STORE_EDGES:
+            self.clear()
+        known, had = self.known, len(self.known)
+        out = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+        if len(known) > had:
+            new = list(islice(known, had, None))
+            last, key, emit, to = lattices(self.pieces, new)
+            states = int(last[-1]) + 1
+            self.last = np.concatenate([self.last, last + np.int64(self.states)])
+            key += self.states << 32
+            to[to >= 0] += self.states
+            grown = self.edges + len(key)
+            if grown > len(self.key):  # room for twice as much, so that adding costs its own size
+                room = max(2 * len(self.key), grown)
+                self.key, self.emit, self.to = (np.concatenate([old[: self.edges], np.zeros(room - self.edges, old.dtype)]) for old in (self.key, self.emit, self.to))
+            for mine, added in ((self.key, key), (self.emit, emit), (self.to, to)):
+                mine[self.edges : grown] = added
+            self.states, self.edges = self.states + states, grown
+        return out
+
 
-    def __init__(self, pieces: Pieces, units: list[str]):
-        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
-        begin = np.cumsum(sizes) - sizes
-        unit = np.repeat(np.arange(len(units)), sizes)
-        place = np.arange(len(codes)) - begin[unit]  # of a character in its unit
-        left = sizes[unit] - place
-        letters = pieces.letter[codes]
-        self.first = begin + np.arange(len(units))  # state of position 0
-        self.last = self.first + sizes
-        state = np.arange(len(codes)) + unit
-        at, node, found = np.arange(len(codes)), np.zeros(len(codes), np.int64), []
-        for length in range(1, pieces.longest + 1):
-            node = pieces.step(node, letters[at + length - 1])
-            piece = np.where(node >= 0, pieces.end[node], -1)
-            hit = piece >= 0
-            found.append((at[hit], np.full(hit.sum(), length), piece[hit]))
-            on = (node >= 0) & (left[at] > length)
-            at, node = at[on], node[on]
-            if not len(at):
-                break
-        start, length, piece = (np.concatenate(x) for x in zip(*found))
-        covered = np.zeros(len(codes), bool)
-        covered[start + length - 1] = True
-        bare = np.flatnonzero(~covered)  # no piece ends with this character
-        start, length = np.concatenate([start, bare]), np.concatenate([length, np.ones(len(bare), np.int64)])
-        spelled = 1 + (codes[bare] > 0x7F).astype(np.int64) + (codes[bare] > 0x7FF) + (codes[bare] > 0xFFFF)
-        weight = np.concatenate([pieces.weight[piece], spelled * pieces.byte_weight])
-        emit = np.concatenate([piece, -1 - codes[bare]])
-        depth, into = place[start] + length, state[start] + length
-        order = np.lexsort((start, into, depth))
-        start, weight, emit, depth, into = state[start][order], weight[order], emit[order], depth[order], into[order]
-        alpha, share = np.zeros(len(codes) + len(units)), np.zeros(len(start))
-        cuts = np.searchsorted(depth, np.arange(1, (int(depth[-1]) if len(depth) else 0) + 2))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):  # forward, all units at once
-            w, to = alpha[start[a:b]] + weight[a:b], into[a:b]
-            heads = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-            counts = np.diff(np.append(heads, b - a))
-            top = np.maximum.reduceat(w, heads)
-            e = np.exp(w - np.repeat(top, counts))
-            total = np.add.reduceat(e, heads)
-            alpha[to[heads]] = top + np.log(total)
-            run = np.cumsum(e / np.repeat(total, counts))
-            before = np.concatenate([[0.0], run])[heads]
-            share[a:b] = run - np.repeat(before, counts)
-            share[a:b][np.append(heads[1:], b - a) - 1] = 1.0
-        order = np.argsort(into, kind="stable")
-        into, start = into[order], start[order]
-        self.key = into + np.clip(share[order], 0.0, 1.0) * (1.0 - 1e-9)
-        self.emit = emit[order]
-        first = np.zeros(len(alpha), bool)
-        first[self.first] = True
-        self.to = np.where(first[start], -1, start)
-
-
-def segment(pieces: Pieces, texts: list[str], keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def segment(pieces: Pieces, texts: list[str], keys: np.ndarray, seed: int, store: Store | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sampled piece ids of all texts, one after the other, and where each text's begin and end."""
-    known: dict[str, int] = {}
-    occurrences, sizes = [], []
-    for t in texts:
-        units = _UNITS.findall(t)
-        occurrences += [known.setdefault(u, len(known)) for u in units]
-        sizes.append(len(units))
-    if not known:
+    store = store or Store(pieces)
+    units, sizes = pieces.units(texts)
+    if not units:
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int32)
-    occ, sizes = np.array(occurrences, np.int64), np.array(sizes, np.int64)
-    lattices = Lattices(pieces, list(known))
+    occ = store.numbers(units)
     row = np.repeat(np.arange(len(texts)), sizes)
     number = np.arange(len(occ)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     stream = mix64(mix64(keys.astype(np.uint64) ^ np.uint64(seed))[row] + number.astype(np.uint64))
-    state, at, step, drawn = lattices.last[occ], np.arange(len(occ)), 0, []
+    at = np.argsort(occ, kind="stable")  # occurrences of a unit together: their searches are near each other
+    edges, stream = store.key[: store.edges], stream[at]
+    state, step, drawn = store.last[occ[at]], 0, []
     while len(at):  # backward, all occurrences at once
-        u = (mix64(stream[at] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * (1.0 - 1e-8) / 2.0**53
-        edge = np.searchsorted(lattices.key, state + u)
-        drawn.append((at, lattices.emit[edge]))
-        state = lattices.to[edge]
+        u = (mix64(stream + np.uint64(step)) >> np.uint64(32)).view(np.int64)
+        edge = np.searchsorted(edges, (state << 32) + u)
+        drawn.append((at, store.emit[edge]))
+        state = store.to[edge].astype(np.int64)
         on = state >= 0
-        at, state, step = at[on], state[on], step + 1
+        at, state, stream, step = at[on], state[on], stream[on], step + 1
     pieces_of = np.zeros(len(occ), np.int64)
     for a, _ in drawn:
         pieces_of[a] += 1
@@ -257,6 +321,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     def run(batches):
         pieces = Pieces(proto, sharpness)
+        store = Store(pieces)
         for batch in batches:
             names, column = batch.column(0), batch.column(1)
             sizes = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)
@@ -267,7 +332,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                     size += sizes[end]
                     end += 1
                 texts = [t or "" for t in column.slice(begin, end - begin).to_pylist()]
-                ids, cuts = segment(pieces, texts, np.array([row_key(x) for x in names.slice(begin, end - begin).to_pylist()], np.uint64), seed)
+                ids, cuts = segment(pieces, texts, np.array([row_key(x) for x in names.slice(begin, end - begin).to_pylist()], np.uint64), seed, store)
                 spans = list(zip(texts, cuts[:-1].tolist(), cuts[1:].tolist()))
                 same = [pieces.decode(ids[a:b].tolist()) == t.encode() for t, a, b in spans]
                 if digest:
@@ -282,12 +347,17 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", model: str = DEFAULT_MODEL) -> DataFrame:
-    """``encoded`` with ``text``: the exact text of the pieces in ``ids_col``; null ids give null."""
+    """``encoded`` with ``text``: the exact text of the pieces in ``ids_col``.
+
+    Null ids give a null text, an empty list an empty one; repeated rows stay, other columns of any
+    name stay (a column ``text`` is replaced), and an empty table gives no rows.
+    """
     proto = read_model(encoded.sparkSession, model)
 
     @F.pandas_udf("string")
-    def text(column):
+    def text(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = Pieces(proto)
-        return column.map(lambda ids: None if ids is None else pieces.decode(ids).decode())
+        for column in columns:
+            yield column.map(lambda ids: None if ids is None else pieces.decode(ids).decode())
 
     return encoded.withColumn("text", text(ids_col))
