@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,9 +23,12 @@ _OWN: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and
+    driver and executors are one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="tesela-"))
             atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
@@ -34,23 +39,41 @@ def scratch_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back, which cuts its lineage.
 
-    The files outlive lost executors, and what reads them knows their size.
+    The files outlive lost executors, and what reads them knows their size. They are removed when the
+    driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tesela-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, after its session's Arrow batches are bounded to 8 MB, unless it has set a bound.
+def bound_batches(spark: SparkSession) -> None:
+    """Bound a session's Arrow batches to 4 MB, unless it has set a bound of its own.
 
     A batch is held a few times over (in the JVM, in Arrow's buffers and in Python), by each task.
+    Queries and pipelines call this for their session; operators change no setting.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if df.sparkSession.conf.get(key) in ("67108864b", "64MB", "67108864"):
-        df.sparkSession.conf.set(key, "8m")
-    return df
+    if spark.conf.get(key) in ("67108864b", "64MB", "67108864"):
+        spark.conf.set(key, "4m")
+
+
+def tidy(run: Callable) -> Callable:
+    """A mapInArrow function that gives freed memory back when its task ends.
+
+    Spark keeps its Python workers for later tasks, and freed memory would stay theirs.
+    """
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+            trim(0)
+
+    return tidied
 
 
 def with_row_ids(df: DataFrame, name: str = "rid") -> DataFrame:

@@ -13,11 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, saved, small, with_row_ids, word_count
+from .common import saved, small, with_row_ids, word_count
 from .sentencepiece_codec import mix64
 
-#: Words of a block; documents of a packing chunk, about; output shards.
-BLOCK, CHUNK, SHARDS = 256, 1024, 64
+#: Words of a block; documents of a packing chunk, about; output shards at least; slots of a shard at
+#: most; chunks of a source whose blocks are added up in one task.
+BLOCK, CHUNK, SHARDS, SHARD_SLOTS, SPAN = 256, 1024, 64, 1 << 18, 4096
 
 
 def targets(sizes: list[int], weights: list[float], total: float, most: float = 2.0) -> list[float]:
@@ -118,8 +119,13 @@ class Mix:
         along = Window.partitionBy("sid", "chunk").orderBy("h", "id", "rid").rowsBetween(Window.unboundedPreceding, -1)
         packed = dealt.withColumn("at", F.coalesce(F.sum("size").over(along), F.lit(0)))
         totals = packed.groupBy("sid", "chunk").agg(F.ceil(F.max(F.col("at") + F.col("size")) / BLOCK).alias("blocks"))
-        before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row a chunk
-        bases = totals.withColumn("base", F.coalesce(F.sum("blocks").over(before), F.lit(0)))
+        # Running sums over chunks, and over spans of chunks, so that a source's chunks are many tasks.
+        ahead = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.withColumn("span", F.floor(F.col("chunk") / SPAN).cast("int"))
+        spans = totals.groupBy("sid", "span").agg(F.sum("blocks").alias("all"))
+        spans = spans.withColumn("first", F.coalesce(F.sum("all").over(ahead("sid", "span")), F.lit(0))).drop("all")
+        bases = totals.withColumn("base", F.coalesce(F.sum("blocks").over(ahead("sid", "span", "chunk")), F.lit(0))).join(spans, ["sid", "span"])
+        bases = bases.withColumn("base", F.col("base") + F.col("first")).drop("first", "span")
         spread = packed.join(bases.drop("blocks"), ["sid", "chunk"]).withColumn("k", F.explode(F.sequence(F.floor(F.col("at") / BLOCK), F.floor((F.col("at") + F.col("size") - 1) / BLOCK))))
         self.pieces = saved(spread.select("rid", "sid", (F.col("base") + F.col("k")).alias("block"), F.greatest(F.col("k") * BLOCK - F.col("at"), F.lit(0)).alias("start"), F.least((F.col("k") + 1) * BLOCK - F.col("at"), F.col("size")).alias("stop")))
         blocks = np.zeros(len(facts), np.int64)
@@ -127,7 +133,7 @@ class Mix:
             blocks[r.sid] = r.n
         mean = np.array(sizes) / np.maximum(blocks, 1)
         slots = np.minimum(np.rint(np.array(self.targets) / np.maximum(mean, 1e-9)).astype(np.int64), 2 * blocks) if len(facts) else np.zeros(0, np.int64)
-        by_shard = draw(slots, 2 * blocks, SHARDS, seed)
+        by_shard = draw(slots, 2 * blocks, max(SHARDS, -(-int(slots.sum()) // SHARD_SLOTS)), seed)
         cumulative = np.concatenate([[0], np.cumsum(by_shard.sum(axis=0))])
         self.slots = spark.range(0, int(cumulative[-1])).mapInArrow(_slot_rows(cumulative, np.maximum(blocks, 1), np.cumsum(by_shard, axis=0), seed), "slot long, shard int, sid int, block long")
 
@@ -154,9 +160,10 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
     A text's words in blocks that two slots take come in a second row. Where all words of a text are
     taken, the row has its exact text, else the taken words with one space between them; n_chars is
-    that text's length.
+    that text's length. Null and empty texts have no words and are not in the mixture; a null source
+    is a source, the last; repeated rows are packed as often as they occur; other columns may have any
+    name. An empty table gives no rows.
     """
-    docs = bounded_batches(docs)
     mix = Mix(docs, carry=True, **how)
     parts = mix.pieces.join(mix.uses(), ["sid", "block"]).withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int"))))
     spans = parts.groupBy("rid", "turn").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))  # of one text

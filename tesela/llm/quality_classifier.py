@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, byte_texts, remainder, saved
+from .common import byte_texts, remainder, small, tidy
 
 _CLASS = np.zeros(256, np.int64)
 for _i, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\n\v\f\r", b"!?", b"#*$%&<>", b"|", b".,;:", b"{}[]()=_/\\", bytes(range(128, 256))), 1):
     _CLASS[list(_chars)] = _i
 NAMES = ["length", "words", "mean_word", "distinct", "top", "repeats", "short", "long", "twice", "lines", "line_repeats", "upper", "lower", "digit", "space", "bang", "symbol", "pipe", "stop", "code", "high", "other", "entropy", "windows"]
 DIM = len(NAMES)
+#: Labelled rows that a fit takes, about, if there are more.
+SAMPLE = 100_000
 
 
 def statistics(text: bytes) -> np.ndarray:
@@ -45,19 +47,12 @@ def statistics(text: bytes) -> np.ndarray:
     ])
 
 
-def _features(batches):
-    for batch in batches:
-        x = np.array([statistics(t) for t in byte_texts(batch.column(1))]).reshape(-1, DIM)
-        vectors = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), DIM).cast(pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=["id", "x"])
-
-
 def _moments(batches):
-    """(label, n, sums, sums of outer products) of a task's rows."""
+    """(label, n, sums, sums of outer products) of the statistics of a task's texts."""
     total = {}
     for batch in batches:
         y = batch.column(0).to_numpy()
-        x = np.array(batch.column(1).to_pylist()).reshape(-1, DIM)
+        x = np.array([statistics(t) for t in byte_texts(batch.column(1))]).reshape(-1, DIM)
         for label in np.unique(y):
             own = x[y == label]
             n, s, ss = total.get(label, (0, 0.0, 0.0))
@@ -106,17 +101,20 @@ def discriminant(moments: dict[int, tuple[float, np.ndarray, np.ndarray]], shrin
     return Discriminant(centre, scale, means, factors, dets, odds)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5) -> Discriminant:
-    """Fit on all labelled rows whose crc32(id as text) mod ``folds`` is not 0.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, sample: int = SAMPLE) -> Discriminant:
+    """Fit on labelled rows whose crc32(id as text) mod ``folds`` is not 0: all of them, or, if there
+    are more than ``sample``, about that many, chosen by a hash of the id.
 
-    Rows without a label of 0 or 1 are left out. What comes to the driver is the moments of each
-    task that has rows of a class, added up by class before that.
+    Rows without a label of 0 or 1 are left out. Texts meet the labels before their statistics are
+    taken, so rows without a label cost a scan. What comes to the driver is the moments of each task
+    that has rows of a class, added up by class before that.
     """
-    docs = bounded_batches(docs)
     learn = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (remainder(id_col, folds) != 0)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    x = docs.filter(remainder(id_col, folds) != 0).select(F.col(id_col).alias("id"), text_col).mapInArrow(_features, f"id {docs.schema[id_col].dataType.simpleString()}, x array<double>")
-    # Saved, as two Python steps in one task would take twice the workers' memory.
-    parts = saved(x.join(learn, "id").select("y", "x")).mapInArrow(_moments, "y int, n long, s array<double>, ss array<double>")
+    n = learn.count()
+    if n > sample:
+        learn = learn.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < (sample << 30) // n)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    parts = texts.join(small(learn, min(n, sample)), "id").select("y", "text").mapInArrow(tidy(_moments), "y int, n long, s array<double>, ss array<double>")
     flat = parts.select("y", "n", F.posexplode(F.concat("s", "ss")).alias("i", "v")).groupBy("y", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
     moments = {}
     for y in {r.y for r in flat}:
@@ -148,11 +146,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     model = fit(docs, labels, id_col, text_col, label_col, folds)
     rows = docs.select(F.col(id_col).alias("id"), (remainder(id_col, folds) == 0).alias("held_out"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(_apply(model, threshold, False, 2), f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    out = rows.mapInArrow(tidy(_apply(model, threshold, False, 2)), f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int")
     return out.withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the classifier predicts as class 1."""
+    """The rows of ``docs``, with all their columns, that the classifier predicts as class 1.
+
+    A null text is scored as an empty one and stays null; null ids are not learnt from; repeated rows
+    stay or go together; other columns may have any name. Without two labelled rows of each class
+    every score is the prior. An empty table gives no rows.
+    """
     model = fit(docs, labels, text_col=text_col)
-    return docs.mapInArrow(_apply(model, threshold, True, docs.columns.index(text_col)), docs.schema)
+    return docs.mapInArrow(tidy(_apply(model, threshold, True, docs.columns.index(text_col))), docs.schema)

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re._constants as rc
 import re._parser as parser
 from dataclasses import dataclass
-from itertools import product
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,7 +61,8 @@ def _any(parts):
 
 
 def _of_strings(strings: set[str]):
-    return _any([_all([s[i : i + 3] for i in range(len(s) - 2)]) for s in sorted(strings)])
+    """Trigrams that cover each string: every third one, and the last."""
+    return _any([_all([s[i : i + 3] for i in sorted({*range(0, len(s) - 2, 3), len(s) - 3}) if i >= 0]) for s in sorted(strings)])
 
 
 def _exact(node, most: int = 24) -> set[str] | None:
@@ -127,23 +128,24 @@ def trigrams(query) -> list[str]:
     return [query] if isinstance(query, str) else list(dict.fromkeys(t for part in query[1:] for t in trigrams(part)))
 
 
-def clauses(query) -> list[list[str]]:
-    """The query as alternatives, each a list of trigrams that must all be there."""
+def postings_of(query, number: dict[str, int]) -> Column:
+    """The sorted keys of a shard that satisfy a query, from its map of postings."""
     if isinstance(query, str):
-        return [[query]]
-    found = [clauses(part) for part in query[1:]]
-    if query[0] == "or":
-        return [c for part in found for c in part]
-    return [list(dict.fromkeys(t for c in chosen for t in c)) for chosen in product(*found)]
+        return F.coalesce(F.element_at("postings", F.lit(number[query])), F.array().cast("array<bigint>"))
+    meet = F.array_intersect if query[0] == "and" else F.array_union
+    return reduce(meet, [postings_of(part, number) for part in query[1:]])
 
 
 def trigram_index(docs: DataFrame, grams: list[str], rows: int) -> DataFrame:
-    """(shard, postings): for each shard a map from a trigram's number to its sorted keys."""
+    """(shard, postings): for each shard a map from a trigram's number to its sorted keys; saved.
+
+    ``docs`` has key and text. Rules whose trigrams are among ``grams`` can be asked of it again.
+    """
     low = docs.select("key", F.lower("text").alias("low"))
     hits = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]))
     entries = low.select("key", F.explode(hits).alias("gram"))
     lists = entries.groupBy(F.pmod("key", F.lit(max(1, rows // SHARD))).alias("shard"), "gram").agg(F.sort_array(F.collect_set("key")).alias("ids"))
-    return lists.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("gram", "ids"))).alias("postings"))
+    return saved(lists.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("gram", "ids"))).alias("postings")))
 
 
 def candidates(docs: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -152,12 +154,8 @@ def candidates(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     grams = list(dict.fromkeys(t for q in queries for t in trigrams(q)))
     number = {g: i for i, g in enumerate(grams)}
     index = trigram_index(docs, grams, docs.count())
-    wanted = F.array(*[F.struct(F.lit(1 << i).cast("long").alias("bit"), F.array(*[F.lit(number[t]) for t in c]).alias("grams")) for i, q in enumerate(queries) if q is not True for c in clauses(q)])
-    none = F.array().cast("array<bigint>")
-    of = lambda g: F.coalesce(F.element_at("postings", g), none)
-    asked = index.select("postings", F.explode(wanted).alias("w"))
-    met = F.aggregate(F.slice("w.grams", 2, 1000), of(F.col("w.grams")[0]), lambda acc, g: F.array_intersect(acc, of(g)))
-    each = asked.select("w.bit", F.explode(met).alias("key"))
+    met = F.array(*[F.struct(F.lit(1 << i).cast("long").alias("bit"), postings_of(q, number).alias("ids")) for i, q in enumerate(queries) if q is not True])
+    each = index.select(F.explode(met).alias("m")).select("m.bit", F.explode("m.ids").alias("key"))
     return each.groupBy("key").agg(F.bit_or("bit").alias("mask"))
 
 

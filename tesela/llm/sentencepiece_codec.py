@@ -25,12 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import tidy
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: A store of more edges than this starts anew; lattices are rebuilt then, with the same draws.
-STORE_EDGES = 4_000_000
+STORE_EDGES = 2_000_000
 
 
 class Pieces:
@@ -243,8 +243,8 @@ class Store:
             key += self.states << 32
             to[to >= 0] += self.states
             grown = self.edges + len(key)
-            if grown > len(self.key):  # room for twice as much, so that adding costs its own size
-                room = max(2 * len(self.key), grown)
+            if grown > len(self.key):  # room for half as much again, so that adding costs its own size
+                room = max(len(self.key) * 3 // 2, grown)
                 self.key, self.emit, self.to = (np.concatenate([old[: self.edges], np.zeros(room - self.edges, old.dtype)]) for old in (self.key, self.emit, self.to))
             for mine, added in ((self.key, key), (self.emit, emit), (self.to, to)):
                 mine[self.edges : grown] = added
@@ -316,7 +316,6 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     Null is an empty text, which has no pieces. Equal ids and texts have equal segmentations, so
     repeated rows agree; null ids share one key. An empty table gives no rows.
     """
-    docs = bounded_batches(docs)
     proto = read_model(docs.sparkSession, model)
 
     def run(batches):
@@ -343,7 +342,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 begin = end
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_pieces long, round_trip boolean, " + ("ids_sha256 string" if digest else "ids array<int>"))
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_pieces long, round_trip boolean, " + ("ids_sha256 string" if digest else "ids array<int>"))
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", model: str = DEFAULT_MODEL) -> DataFrame:

@@ -12,8 +12,6 @@ from collections import Counter, deque
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches
-
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose length is remembered in a task, at most.
@@ -90,7 +88,6 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows are counted as often as they occur; an empty table gives no rows. The vocabulary is read on
     the driver, and its size does not depend on the data.
     """
-    docs = bounded_batches(docs)
     pieces = vocabulary(model) if pieces is None else pieces
 
     def run(batches):
