@@ -1,6 +1,6 @@
 """Operator 7, SimHash near-dedup over vantage-point trees.
 
-A bounded sample fits a vantage-point tree whose leaves are the shards. Each distinct fingerprint
+Bounded samples fit a vantage-point tree, level by level, until its leaves, the shards, are small. Each distinct fingerprint
 has one home shard; it also visits the shards on the other side of a split that it is within the
 radius of (triangle bound). Inside a shard, a dual-tree join splits both sides by distance to a
 vantage point, prunes what the bound excludes, and compares the rest exactly, so no pair is lost.
@@ -8,16 +8,20 @@ vantage point, prunes what the bound excludes, and compares the rest exactly, so
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, byte_texts, plain_names, saved, with_row_ids
+from .common import byte_texts, plain_names, saved, small, with_row_ids
 from .components import connected_components, merge_labels
 
-#: Fingerprints of a shard, as planned; of the sample that fits the tree, at most.
-SHARD, SAMPLE = 32_768, 65_536
+#: Fingerprints of a shard, as planned; of a sample that splits shards, about; of
+#: each shard that it splits, at least.
+SHARD, SAMPLE, EACH = 32_768, 65_536, 128
 _LEAF = 1 << 20
 
 
@@ -68,18 +72,18 @@ def _split(points: np.ndarray, radius: int, rng: np.random.Generator) -> tuple[n
     return best[1], best[2]
 
 
-def fit_tree(sample: np.ndarray, leaves: int, radius: int, seed: int = 7):
-    """A nested (vantage, bound, inside, outside) with shard numbers at its leaves."""
-    rng, count = np.random.default_rng(seed), iter(range(1 << 40))
+def fit_tree(sample: np.ndarray, leaves: int, radius: int, numbers: Iterator[int], seed: int = 7):
+    """A nested (vantage, bound, inside, outside) with shard ``numbers`` at its leaves."""
+    rng = np.random.default_rng(seed)
 
     def grow(points: np.ndarray, want: int):
         if want <= 1 or len(points) < 32:
-            return next(count)
+            return next(numbers)
         v, mu = _split(points, radius, rng)
         d = distances(points, v)
         low = points[d <= mu]
         if not 0 < len(low) < len(points):
-            return next(count)
+            return next(numbers)
         share = max(1, min(want - 1, round(want * len(low) / len(points))))
         return (v, mu, grow(low, share), grow(points[d > mu], want - share))
 
@@ -179,17 +183,51 @@ def _links(radius: int):
     return run
 
 
+def _sampled(rows: DataFrame, n: int, most: int, by: str = "fp") -> DataFrame:
+    """About ``most`` of ``n`` rows by a hash of ``by``, the same ones in each run."""
+    return rows.filter(F.pmod(F.xxhash64(by), F.lit(1 << 30)) < max(1, min(1 << 30, (most << 30) // max(1, n))))
+
+
+def _with_leaves(node, new: dict):
+    """The tree with some leaves (shard numbers) replaced by trees."""
+    if not isinstance(node, tuple):
+        return new.get(node, node)
+    v, mu, low, high = node
+    return v, mu, _with_leaves(low, new), _with_leaves(high, new)
+
+
+def grown_tree(distinct: DataFrame, n: int, radius: int):
+    """A tree whose shards are homes of about SHARD of the ``n`` fingerprints.
+
+    Level by level, each shard that holds over twice as many is split by a sample of its own, until
+    all fit or no vantage point parts them. What comes to the driver at a time is a sample of SAMPLE
+    fingerprints, shared by the shards that are split, and one count a shard.
+    """
+    if n <= SHARD:
+        return 0
+    numbers = count()
+    sample = _sampled(distinct, n, SAMPLE).toPandas()["fp"].to_numpy(np.int64)
+    tree, whole = fit_tree(np.sort(sample).view(np.uint64), -(-n // SHARD), radius, numbers), set()
+    while True:
+        homes = distinct.select("fp").mapInArrow(_route(tree, radius), "shard int, fp long, home boolean").filter("home")
+        sizes = {r.shard: r.n for r in homes.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+        large = [k for k, size in sorted(sizes.items()) if size > 2 * SHARD and k not in whole]
+        if not large:
+            return tree
+        large = large[: max(1, SAMPLE // EACH)]  # the others in the next turns
+        over = homes.join(small(distinct.sparkSession.createDataFrame([(k,) for k in large], "shard int"), len(large)), "shard")
+        rows, new = _sampled(over, sum(sizes[k] for k in large), SAMPLE).toPandas(), {}
+        for k in large:
+            points = np.sort(rows.loc[rows["shard"] == k, "fp"].to_numpy(np.int64)).view(np.uint64)
+            new[k] = fit_tree(points, -(-sizes[k] // SHARD), radius, numbers)
+            if not isinstance(new[k], tuple):  # too few or too close to be parted
+                whole.add(new[k])
+        tree = _with_leaves(tree, new)
+
+
 def link_fingerprints(distinct: DataFrame, radius: int = 3) -> DataFrame:
     """Links (a, b) between distinct fingerprints (one column, fp) that span each linked set."""
-    n = distinct.count()
-    leaves = -(-n // SHARD)
-    if leaves > 1:
-        # Stride over a hash, so that the sample is bounded and the same in each run.
-        every = max(4, n // SAMPLE)
-        sample = distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).limit(2 * SAMPLE).toPandas()["fp"].to_numpy()
-        tree = fit_tree(np.sort(sample).view(np.uint64), leaves, radius)
-    else:
-        tree = 0
+    tree = grown_tree(distinct, distinct.count(), radius)
     routed = distinct.select("fp").mapInArrow(_route(tree, radius), "shard int, fp long, home boolean")
     return routed.groupBy("shard").applyInArrow(_links(radius), "a long, b long")
 
@@ -203,7 +241,6 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     differing bits link; component_id is the smallest id that links lead to (null if all ids are).
     Repeated rows and ties stay as rows. An empty table gives an empty result.
     """
-    docs = bounded_batches(docs)
     with_text, carry = carry is not None, [c for c in carry or [] if c not in (id_col, text_col)]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     if with_text:  # texts stay with their rows for the caller
