@@ -1,8 +1,9 @@
 """Operator 9, quality rules with a log-likelihood ratio (DataFrame functions only).
 
 Words and word pairs are hashed into a fixed number of buckets. Two multinomials over the buckets,
-of a trusted target and of the raw corpus, give each bucket a log ratio; a text's verdict is the
-mean ratio of its n-grams against a fixed threshold. Plain counting rules come before it.
+of a trusted target and of the raw corpus, give each bucket a log ratio; a text's score is the mean
+ratio of its n-grams. The threshold is a stated quantile of the trusted texts' own scores, so it means
+the same on any corpus. Plain counting rules come before it.
 """
 
 from __future__ import annotations
@@ -11,11 +12,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, small, text_of
+from .common import SPACE, saved, small, text_of
 
 BUCKETS = 1 << 14
-#: Texts whose mean log ratio is lower are rejected.
-THRESHOLD = -0.12
+#: Share of the trusted texts that may score below the threshold, and steps of a score in its histogram.
+LOSS, STEPS = 0.001, 10_000
 
 _SYMBOLS = "[#*$%&|<>]"
 
@@ -76,8 +77,9 @@ def _window_repeats() -> Column:
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
     """A log ratio for each bucket, from all n-grams of the corpus and of its trusted part."""
     ids = trusted.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct().withColumn("target", F.lit(1))
-    rows = docs.select(F.col(id_col).alias("id"), words_of(text_of(text_col)).alias("words"))
-    grams = with_hashes(rows.join(small(ids, ids.count()), "id", "left")).select("target", F.explode(F.concat("h", "h2")).alias("g")).select("target", _bucket(F.col("g")).alias("b"))
+    # Texts meet the ids before they are split, so that a join by sort moves texts and no arrays.
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(small(ids, ids.count()), "id", "left")
+    grams = with_hashes(rows.select("target", words_of(F.col("text")).alias("words"))).select("target", F.explode(F.concat("h", "h2")).alias("g")).select("target", _bucket(F.col("g")).alias("b"))
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     for r in grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("target").alias("target")).collect():  # BUCKETS rows at most
         raw[r.b] += r.raw
@@ -87,13 +89,31 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     return (np.log(target / target.sum()) - np.log(raw / raw.sum())).tolist()
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def threshold_of(scored: DataFrame, trusted: DataFrame, id_col: str, loss: float = LOSS) -> float:
+    """The largest score, in steps of 1 / STEPS, that at most a share ``loss`` of the trusted rows that
+    pass the base rules are below; without such rows nothing is.
+
+    A histogram over the steps comes to the driver, not the scores.
+    """
+    ids = trusted.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct()
+    own = scored.filter("NOT base_failed").select("id", F.floor(F.col("llr") * STEPS).alias("step")).join(small(ids, ids.count()), "id", "left_semi")
+    steps = sorted((r.step, r["count"]) for r in own.groupBy("step").count().collect())
+    left = loss * sum(n for _, n in steps)
+    for step, n in steps:
+        left -= n
+        if left < 0:
+            return step / STEPS
+    return float("-inf")
+
+
+def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", loss: float = LOSS) -> DataFrame:
     """One row per row of ``docs``: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, llr (mean log ratio of the n-grams), kept.
 
     base_failed: fewer than 10 words, or over a fifth of them in repeated 5-word windows. kept: not
-    base_failed and llr >= ``threshold``. ``trusted`` names the ids of the target; with none, every
-    ratio is 0 and kept follows the base rules. A null text has no words and fails. Repeated
+    base_failed and llr not below the threshold, which a share ``loss`` of the trusted rows may be.
+    ``trusted`` names the ids of the target; with none, every ratio is 0 and kept follows the base
+    rules. A null text has no words and fails. Repeated
     rows count as often as they occur. An empty table gives no rows.
     """
     ratios = log_ratios(docs, trusted, id_col, text_col)
@@ -112,5 +132,6 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
         _window_repeats().alias("n_repeat_words"), F.when(n > 0, ratio / F.greatest(2 * n - 1, F.lit(1))).otherwise(0.0).alias("llr"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = out.withColumn("base_failed", failed)
+    out = saved(out.withColumn("base_failed", failed))
+    threshold = threshold_of(out, trusted, id_col, loss)
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"), F.round("llr", 6).alias("llr"))
