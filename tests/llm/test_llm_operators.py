@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tesela.llm import lm_score, mixing, quality_rules, secret_scan, sentencepiece_codec, simhash, substring_dedup, token_counts
 from tesela.llm.components import connected_components
 from tesela.llm.exact_dedup import exact_dedup, keep_first
-from tesela.llm.quality_classifier import quality_scores
+from tesela.llm.quality_classifier import keep_good, quality_scores
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, rid int, size string, fp string"
 LINE = "one two three four five six seven eight nine ten eleven twelve"
@@ -74,10 +74,22 @@ def test_exact_dedup(spark, rows, partitions):
     assert all(r.doc_id == r.keep_id and r.size == "z" for r in out if r.kept)
 
 
-def test_keep_first(docs, rows):
+@pytest.mark.parametrize("partitions", [1, 3, 7])
+def test_keep_first(spark, rows, partitions):
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    many = rows + [(1000 - i, "same  text" if i % 2 else "same text", "en", "s1", None, True, 0, "z", "q") for i in range(500)] + [(None, None, "de", "s9", 1, False, 5, None, None)]
+    docs = spark.createDataFrame(many, SCHEMA)
     kept = keep_first(docs)
     assert kept.columns == docs.columns
-    assert kept.count() == len({re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in rows})
+    got = kept.collect()
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    least = {}
+    for r in many:
+        k = (r[0] is None, r[0] or 0)
+        least[norm(r[1])] = min(least.get(norm(r[1]), k), k)
+    assert sorted((norm(r.text), (r.doc_id is None, r.doc_id or 0)) for r in got) == sorted(least.items())
+    assert Counter(map(tuple, got)) <= Counter(many)
 
 
 def test_lm_score(docs, rows):
@@ -105,15 +117,77 @@ def test_lm_rare_words_meet_by_join(docs, monkeypatch):
     assert whole.keys() == few.keys() and all(whole[k] == pytest.approx(few[k]) for k in whole)
 
 
-def test_lm_learns_and_is_normalised():
+def _trained(counts):
+    high = lm_score.block_rows(len(counts))
+    return lm_score.train((counts.sum(axis=1), counts.sum(axis=0)), lambda k: counts[k * high : (k + 1) * high])
+
+
+def test_lm_learns_and_is_normalised(monkeypatch):
     counts = np.zeros((576, 576))
     for a in range(40):
         counts[a, (a * 7) % 40] = 90
         counts[a, (a * 3 + 1) % 40] += 10
-    logp = lm_score.train(counts)
-    assert np.allclose((10**logp).sum(axis=1), 1)
     q = counts.sum(axis=0) / counts.sum()
-    assert (counts * logp).sum() > (counts[:, q > 0] * np.log10(q[q > 0])).sum() + 0.3 * counts.sum()
+    base = (counts[:, q > 0] * np.log10(q[q > 0])).sum()
+    every = np.arange(576)
+    for cells in (lm_score.BLOCK_CELLS, 100 * 576):  # one block of contexts, and six
+        monkeypatch.setattr(lm_score, "BLOCK_CELLS", cells)
+        model = _trained(counts)
+        logp = np.array([model.log10(np.full(576, a), every) for a in range(576)])
+        assert np.allclose((10**logp).sum(axis=1), 1)
+        assert (counts * logp).sum() > base + 0.3 * counts.sum()
+
+
+def test_lm_types_grow():
+    sizes = [lm_score.Sizes.of(10**k) for k in (0, 6, 8, 10, 13)]
+    assert [s.types for s in sizes] == [512, 512, 512, 4096, 32768] and all(s.classes == s.types // 8 for s in sizes)
+
+
+@pytest.mark.parametrize("cells", [None, 1000, 1])
+def test_lm_score_of_each_text(docs, rows, monkeypatch, cells):
+    """The scores by loops: types, pair counts and shares of classes from plain counting."""
+    sizes = lm_score.Sizes(16, 4)
+    monkeypatch.setattr(lm_score.Sizes, "of", classmethod(lambda cls, n: sizes))
+    monkeypatch.setattr(lm_score, "STEPS", 30)
+    monkeypatch.setattr(lm_score, "FREQUENT", 60)
+    if cells:  # pairs sorted in turns; and blocks read one at a time
+        monkeypatch.setattr(lm_score, "DENSE_CELLS", cells)
+        monkeypatch.setattr(lm_score, "BLOCK_CELLS", 100)
+    got = Counter((r.doc_id, r.n_tokens, round(r.score, 3)) for r in lm_score.lm_scores(docs).collect())
+    out_of = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
+    counts, training = Counter(), [[*words(r[1]), b""] for r in rows if not out_of(r[0])]
+    for ws in training:
+        counts.update(ws)
+    ends = counts.pop(b"")
+    by_count = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    level = lambda c: math.floor(math.log2(c) * 8)
+    kept = next((k for k in sorted({level(c) for c in counts.values()}) if sum(level(c) >= k for c in counts.values()) <= 60), 10**9)
+    listed = [b""] + [w for w, c in by_count if level(c) >= kept]
+    own = {w: i for i, w in enumerate(listed[:16])}
+    kind = lambda w: own.get(w, 16 + zlib.crc32(w) % 4)
+    counts[b""] = ends
+    table = np.zeros((20, 20))
+    for ws in training:
+        for a, b in zip([b"", *ws], ws):
+            table[kind(a), kind(b)] += 1
+    model = _trained(table)
+    share = Counter()
+    for w, c in counts.items():
+        if w not in own:
+            share[kind(w)] += c + 1
+    want = Counter()
+    for r in rows:
+        ws, total = [*words(r[1]), b""], 0.0
+        for a, b in zip([b"", *ws], ws):
+            x, y = kind(a), kind(b)
+            total += float(model.left[x] @ model.right[y]) + model.bias[y] - model.norm[x]
+            if b not in own:
+                total += math.log10((counts[b] + 1) / (share[y] + 1))
+        want[r[0], len(ws), round(total, 3)] += 1
+    same = lambda c: sorted((str(k[0]), k[1], k[2], n) for k, n in c.items())
+    assert [x[:2] for x in same(got)] == [x[:2] for x in same(want)]
+    for x, y in zip(same(got), same(want)):
+        assert x[2] == pytest.approx(y[2], rel=1e-4, abs=0.01)
 
 
 def test_lm_of_no_training_rows(spark):
@@ -159,6 +233,55 @@ def test_quality_classifier(spark, docs, labels, none):
     assert all(r.held_out == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 5 == 0) for r in out)
     assert quality_scores(docs, labels.limit(0)).count() == len(texts())
     assert quality_scores(none, labels).count() == 0
+    # keep_good: the rows, whole, that the scores predict as 1; nulls and clashing names as above.
+    kept = keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    good = Counter((r.doc_id, round(r.score, 9)) for r in out if r.predicted)
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, _ in good.elements())
+    assert keep_good(none, labels).count() == 0
+    assert keep_good(docs, labels.filter("quality = 1")).count() in (0, len(texts())) and keep_good(docs, labels.limit(0)).count() == len(texts())
+
+
+def test_quality_scores_by_loops(spark, docs, rows, labels):
+    """Covariances, shrinkage and densities written out, from statistics of the texts."""
+    from tesela.llm.quality_classifier import DIM, statistics
+
+    out_of = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 5 == 0
+    quality = {i: i % 2 for i in range(1, 18)}
+    learnt = defaultdict(list)
+    for r in rows:
+        if r[0] in quality and not out_of(r[0]):
+            learnt[quality[r[0]]].append(statistics((r[1] or "").encode()))
+    every = np.array(learnt[0] + learnt[1])
+    centre, scale = every.mean(axis=0), np.sqrt(np.maximum(every.var(axis=0), 1e-6))
+    models = []
+    for k in (0, 1):
+        z = (np.array(learnt[k]) - centre) / scale
+        part = max(0.1, min(1.0, DIM / len(z)))
+        cov = np.cov(z.T, bias=True)
+        cov = (1 - part) * cov + part * np.eye(DIM) * max(np.trace(cov) / DIM, 1e-3)
+        models.append((z.mean(axis=0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1]))
+    odds = math.log((len(learnt[1]) + 1) / (len(learnt[0]) + 1))
+
+    def score(text):
+        z = (statistics((text or "").encode()) - centre) / scale
+        d = [-0.5 * ((z - m) @ inv @ (z - m) + det) for m, inv, det in models]
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, d[1] - d[0] + odds))))
+
+    got = sorted((str(r.doc_id), r.score) for r in quality_scores(docs, labels).collect())
+    want = sorted((str(r[0]), score(r[1])) for r in rows)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-6)
+
+
+def test_fit_takes_about_a_sample(spark):
+    texts = [(i, f"word{i % 7} " * (i % 30) + "!" * (i % 2)) for i in range(3000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id long, quality int")
+    from tesela.llm.quality_classifier import fit
+
+    whole, part = fit(docs, labels), fit(docs, labels, sample=500)
+    assert np.abs(whole.centre - part.centre).max() > 0 and abs(whole.log_odds - part.log_odds) < 0.5
 
 
 def test_quality_classifier_on_held_out_labels(spark):
@@ -281,8 +404,32 @@ def test_keep_one(docs, rows):
     assert simhash.keep_one(docs.select("text", "doc_id")).columns == ["text", "doc_id"]
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    groups = {r.component_id for r in simhash.simhash_groups(docs.filter("doc_id IS NOT NULL")).collect()}
-    assert kept.filter("doc_id IS NOT NULL").count() >= len(groups) - 1 and kept.filter("doc_id = 15").count() <= 1
+    got = Counter(r.doc_id for r in kept.collect())
+    # By all pairs: of each linked set the smallest id stays, once.
+    fps = [simhash.fingerprint((r[1] or "").encode()) for r in rows]
+    label = list(range(len(rows)))
+    for _ in rows:
+        for a in range(len(rows)):
+            for b in range(len(rows)):
+                if (fps[a] ^ fps[b]).bit_count() <= 3:
+                    label[a] = min(label[a], label[b])
+    first = {}
+    for k, r in zip(label, rows):
+        first[k] = min(first.get(k, (True, 0)), (r[0] is None, r[0] or 0))
+    assert got == Counter(i if not none else None for none, i in first.values())
+
+
+def test_the_tree_grows_until_shards_fit(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(simhash, "SHARD", 60)
+    monkeypatch.setattr(simhash, "SAMPLE", 500)
+    # A sample of the whole sees little of a dense ball that holds most of the points.
+    ball = np.uint64(77) ^ np.bitwise_or.reduce([np.uint64(1) << rng.integers(0, 63, 4000, dtype=np.uint64) for _ in range(9)], axis=0)
+    fps = np.unique(np.concatenate([rng.integers(0, 1 << 63, 3000, dtype=np.uint64), ball])).view(np.int64)
+    df = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+    tree = simhash.grown_tree(df, len(fps), 3)
+    sizes = [r["count"] for r in df.mapInArrow(simhash._route(tree, 3), "shard int, fp long, home boolean").filter("home").groupBy("shard").count().collect()]
+    assert sum(sizes) == len(fps) and np.mean(np.array(sizes) <= 120) > 0.9 and max(sizes) < 500
 
 
 @pytest.mark.parametrize("unit", ["line", "paragraph"])
@@ -315,6 +462,18 @@ def test_substring_dedup_inside_lines(spark):
     assert "iota" in out[3].text and len(out[3].spans) == 2
 
 
+def with_bucket(docs):
+    """(id, bucket of each word and word pair) by the same hash, which is all that is shared."""
+    ws = quality_rules.words_of(F.coalesce("text", F.lit("")))
+    h = docs.select("doc_id", F.transform(ws, lambda w: F.xxhash64(w)).alias("h"))
+    out = []
+    pairs = docs.sparkSession.createDataFrame([(a, b) for r in h.collect() for a, b in zip(r.h, r.h[1:])] or [(0, 0)], "a long, b long").distinct()
+    of = {(r.a, r.b): r.h for r in pairs.select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    for r in h.collect():
+        out.append((r.doc_id, [x & (quality_rules.BUCKETS - 1) for x in [*r.h, *(of[p] for p in zip(r.h, r.h[1:]))]]))
+    return out
+
+
 def test_quality_rules(docs, rows, labels, none):
     out = quality_rules.quality_rules(docs, labels.filter("quality = 1").select("doc_id")).collect()
     want = Counter()
@@ -330,10 +489,36 @@ def test_quality_rules(docs, rows, labels, none):
         want[r[0], len(ws), sum(map(len, ws)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit), failed] += 1
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in out) == want
     assert not any(r.kept and r.base_failed for r in out)
+    # The ratios by plain counting, over the same buckets; trusted are ids with quality 1.
+    hashed = with_bucket(docs)
+    trusted, raw, target = {i for i in range(1, 18) if i % 2} | {99}, Counter(), Counter()
+    for i, buckets in hashed:
+        raw.update(buckets)
+        target.update(buckets if i in trusted else [])
+    size, all_raw, all_target = quality_rules.BUCKETS, sum(raw.values()), sum(target.values())
+    log = {b: math.log((target[b] + 1) / (all_target + size)) - math.log((raw[b] + 1) / (all_raw + size)) for b in raw}
+    llr = sorted((str(i), round(sum(log[b] for b in buckets) / len(buckets) if buckets else 0.0, 4)) for i, buckets in hashed)
+    assert [x for x, _ in llr] == sorted(str(r.doc_id) for r in out)
+    assert [y for _, y in llr] == pytest.approx([y for _, y in sorted((str(r.doc_id), round(r.llr, 4)) for r in out)], abs=2e-4)
+    passed = sorted(math.floor(r.llr * 1e4) / 1e4 for r in out if r.doc_id in trusted and not r.base_failed)
+    for loss in (0.001, 0.4):
+        again = quality_rules.quality_rules(docs, labels.filter("quality = 1").select("doc_id"), loss=loss).collect()
+        edge = passed[math.floor(loss * len(passed))]
+        assert all(r.kept == (not r.base_failed and r.llr >= edge - 1e-4) for r in again if abs(r.llr - edge) > 2e-4)
+        assert sum(r.kept for r in again if r.doc_id in trusted) >= (1 - loss) * len(passed) - 1
     assert quality_rules.quality_rules(docs, labels.limit(0).select("doc_id")).filter("kept").count() == sum(not r.base_failed for r in out)
     assert quality_rules.quality_rules(none, labels.select("doc_id")).count() == 0
 
 
+def test_block_numbers_run_over_spans_of_chunks(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"a b c {i} " * (i % 200), f"s{i % 2}") for i in range(900)], "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "CHUNK", 10)
+    whole = {(r.sid, r.block) for r in mixing.Mix(df).pieces.collect()}
+    monkeypatch.setattr(mixing, "SPAN", 3)
+    assert {(r.sid, r.block) for r in mixing.Mix(df).pieces.collect()} == whole
+    assert all(sorted(b for s, b in whole if s == k) == list(range(sum(s == k for s, _ in whole))) for k in (0, 1))
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100], [3, 1, 2], 450) == pytest.approx([200, 250 / 3, 500 / 3])
     assert mixing.targets([0, 10], [3, 1], 15) == pytest.approx([0, 15])
@@ -368,6 +553,22 @@ def test_mixing(spark, docs, rows):
         assert abs(taken[round(t, 4)] - t) < 0.05 * t + 600
     again = mixing.mix_report(df).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, out))
+    # taken by loops: uses of each block that a document's words lie in.
+    mix = mixing.Mix(df)
+    uses = Counter((r.sid, r.block) for r in mix.slots.collect())
+    assert max(uses.values()) <= 2
+    by_row, blocks = Counter(), defaultdict(list)
+    for r in mix.pieces.collect():
+        by_row[r.rid] += (r.stop - r.start) * uses[r.sid, r.block]
+        blocks[r.sid, r.block].append((r.rid, r.start, r.stop))
+    assert all(sum(b - a for _, a, b in inside) <= mixing.BLOCK for inside in blocks.values()) and set(uses) <= set(blocks)
+    facts = {r.rid: (r.id, r.size) for r in mix.docs.collect()}
+    assert Counter((i, size, by_row[rid]) for rid, (i, size) in facts.items()) == Counter((r.doc_id, r.size, r.taken) for r in out)
+    whole = defaultdict(list)
+    for inside in blocks.values():
+        for rid, a, b in inside:
+            whole[rid].append((a, b))
+    assert all(sorted(whole[rid])[0][0] == 0 and sum(b - a for a, b in whole[rid]) == size for rid, (_, size) in facts.items() if size)
     mixed = mixing.mixed_documents(df)
     assert mixed.columns == df.columns
     assert sum(len(r.text.encode().split()) for r in mixed.collect()) == sum(r.taken for r in out)
