@@ -7,29 +7,42 @@ import re
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
+# Apostrophes that join what is around them, the pattern of a term, its longest length.
 _APOSTROPHES = dict.fromkeys(map(ord, "'’ʼ"))
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+")
+_LONGEST = 40
+
+#: Buckets of terms that the postings of a stored index are dealt to.
+_BUCKETS = 64
+
+
+@lru_cache(1 << 16)
+def _bare(ch: str) -> str:
+    """A character without its marks (category Mn); one that has none, or n with tilde, as it is."""
+    parts = unicodedata.normalize("NFD", ch)
+    kept = [c for c in parts if unicodedata.category(c) != "Mn"]
+    return ch if ch == "ñ" or len(kept) == len(parts) else unicodedata.normalize("NFC", "".join(kept))
 
 
 def fold(text: str) -> str:
     """Compatibility form, case folded, without apostrophes and diacritics (the one of n stays)."""
-    text = unicodedata.normalize("NFKC", text).casefold().translate(_APOSTROPHES)
-    out = []
-    for ch in unicodedata.normalize("NFC", text):
-        out.append(ch if ch == "ñ" else "".join(c for c in unicodedata.normalize("NFD", ch) if not unicodedata.combining(c)))
-    return "".join(out)
+    text = text.casefold() if text.isascii() else unicodedata.normalize("NFKC", text).casefold()
+    text = text.translate(_APOSTROPHES)
+    return text if text.isascii() else "".join(map(_bare, unicodedata.normalize("NFC", text)))
 
 
 def analyse(text: str, stopwords: frozenset[str] = frozenset(), stem: Callable[[str], str] | None = None) -> list[str]:
     """Terms of a text: 1 to 40 characters; numbers skip stopwords and the stemmer."""
     terms = []
     for token in _TOKEN.findall(fold(text)):
-        if len(token) > 40:
+        if len(token) > _LONGEST:
             continue
         if token[0].isdigit():
             terms.append(token.replace(",", "."))
@@ -75,7 +88,7 @@ class TextIndex:
         """(key, term, tf) of every term."""
         return self.rows.select("key", F.explode("terms").alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
 
-    def _slim(self, terms: list[str], norms: bool = False) -> tuple[DataFrame, int, float, list[int]]:
+    def _slim(self, terms: list[str], norms: bool = False, everything: bool = False) -> tuple[DataFrame, int, float, list[int]]:
         """The slim table, the number of texts, their mean length, and df of each term."""
         hits = self.rows.select("key", F.size("terms").alias("length"), F.filter("terms", lambda x: x.isin(terms)).alias("hits"), *([_norm().alias("norm")] if norms else []))
         times = lambda t: F.size(F.filter("hits", lambda x: x == t))
@@ -103,6 +116,20 @@ class TextIndex:
                 total = total + F.when(tf > 0, weights[t] / size * (1 + F.log10(F.greatest(tf, F.lit(1)).cast("double")))).otherwise(0.0)
         return F.when(F.col("norm") > 0, total / F.col("norm")).otherwise(0.0)
 
+    def stored(self) -> StoredIndex:
+        """The index written to the shared folder: texts are analysed once, for all queries."""
+        rows = written(self.rows)
+        tf = rows.select("key", F.explode("terms").alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
+        norms = tf.groupBy("key").agg(F.sqrt(F.sum(F.pow(1 + F.log10(F.col("tf").cast("double")), 2))).alias("norm"))
+        docs = written(rows.select("key", F.size("terms").alias("length")).join(norms, "key", "left").withColumn("norm", F.coalesce("norm", F.lit(0.0))))
+        bucket = F.pmod(F.xxhash64("term"), F.lit(_BUCKETS)).cast("int")
+        terms = written(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("bucket", bucket).repartitionByRange("term").sortWithinPartitions("term"))
+        n, mean = docs.agg(F.count(F.lit(1)), F.avg("length")).first()
+        listed = tf.join(docs, "key").withColumn("bucket", bucket)
+        # By range, so that a very common term is dealt over many tasks and files.
+        postings = written(listed.repartitionByRange("bucket", "term", "key").sortWithinPartitions("bucket", "term", "key"), "bucket")
+        return StoredIndex(self.rows, self.key, self.split, docs, terms, postings, n, mean or 0.0)
+
     def bm25(self, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """(key, score) of the texts with some term of a free query; repeated words count once."""
         return self._ranked(self.split(query), None, "BM25", {"k1": k1, "b": b})
@@ -123,13 +150,37 @@ class TextIndex:
 
     def _ranked(self, scored: list[str], tree, method: str, options: dict) -> DataFrame:
         terms = list(dict.fromkeys([*scored, *all_terms(tree)]))
-        slim, n, mean, df = self._slim(terms, method == "TF_IDF")
+        everything = tree is not None and _true_of_none(tree)
+        slim, n, mean, df = self._slim(terms, method == "TF_IDF", everything)
         score = (self._bm25 if method == "BM25" else self._tf_idf)(slim, n, mean, df, terms, scored, **options)
         has = {t: F.get("tf", F.lit(i)) > 0 for i, t in enumerate(terms)}
         holds = reduce(Column.__or__, [has[t] for t in terms], F.lit(False)) if tree is None else _holds(tree, has)
         return slim.filter(holds).select(F.col("key").alias(self.key), score.alias("score"))
 
 
+@dataclass
+class StoredIndex(TextIndex):
+    """An index whose postings (term, key, tf, length, norm), by bucket of terms, are a table. A query
+    reads the buckets of its terms, and all texts only if texts with none of them satisfy it."""
+
+    docs: DataFrame
+    terms: DataFrame
+    listed: DataFrame
+    n: int
+    mean: float
+
+    def _slim(self, terms: list[str], norms: bool = False, everything: bool = False) -> tuple[DataFrame, int, float, list[int]]:
+        found = self.terms.filter(F.col("term").isin(terms)).collect() if terms else []
+        known, buckets = {r.term: r.df for r in found}, sorted({r.bucket for r in found})
+        times = [F.coalesce(F.sum(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).cast("int") for t in terms]
+        tf = F.array(*times) if terms else F.array().cast("array<int>")
+        slim = self.listed.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms)).groupBy("key").agg(F.first("length").alias("length"), F.first("norm").alias("norm"), tf.alias("tf"))
+        if everything:
+            none = F.array(*[F.lit(0)] * len(terms)).cast("array<int>")
+            slim = self.docs.join(slim.select("key", "tf"), "key", "left").withColumn("tf", F.coalesce("tf", none))
+        return slim, self.n, self.mean, [known.get(t, 0) for t in terms]
+
+
 def _norm() -> Column:
     """Length of the vector of (1 + log10 tf) of a text, over the runs of its sorted terms."""
     weight = lambda k: F.pow(1 + F.log10(k.cast("double")), 2)
@@ -209,6 +260,13 @@ def positive_terms(tree, sign: bool = True) -> list[str]:
     return [t for part in tree[1:] for t in positive_terms(part, sign != (tree[0] == "not"))]
 
 
+def _true_of_none(tree) -> bool:
+    """Does a text with none of the terms satisfy the query?"""
+    if tree[0] in ("term", "not"):
+        return tree[0] == "not" and not _true_of_none(tree[1])
+    return (all if tree[0] == "and" else any)(map(_true_of_none, tree[1:]))
+
+
 def _holds(tree, has: dict[str, Column]) -> Column:
     if tree[0] == "term":
         return has[tree[1]]
