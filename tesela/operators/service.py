@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import running
+
 
 def rrf(lists: list[tuple[DataFrame, float]], key: str, score: str = "score", k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of short ranked lists: key, score, best rank."""
@@ -26,6 +28,42 @@ def minmax_fusion(signals: DataFrame, key: str, weights: dict[str, float]) -> Da
     return signals.join(bounds, "signal").groupBy(key).agg(F.sum(weight * scaled).alias("score"))
 
 
+def fused_signals(signals: DataFrame, key: str, weights: dict[str, float], boosts: dict[str, float] | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """(key, score, signals) of a shop's fusion, best first, more signals before fewer, then by key.
+
+    Signals of ``weights`` are scaled to 0..1 (a constant one is 1); the weight of those without any
+    row (a cold start) is shared among the others by weight. Signals of ``boosts`` are absolute values
+    of 0..1: they add to a key that has a scaled signal and bring none in. Keys of ``exclude`` go.
+    """
+    if exclude is not None:
+        signals = signals.join(exclude.select(key), key, "left_anti")
+    own = signals.filter(F.col("signal").isin(list(weights)))
+    bounds = own.groupBy("signal").agg(F.min("value").alias("low"), F.max("value").alias("high")).collect()  # one row a signal
+    there = sum(weights[r.signal] for r in bounds)
+    score = F.lit(0.0)
+    for r in bounds:
+        scaled = F.lit(1.0) if r.high == r.low else (F.col("value") - F.lit(float(r.low))) / float(r.high - r.low)
+        score = score + F.when(F.col("signal") == r.signal, scaled * (weights[r.signal] * sum(weights.values()) / there if there else 0.0)).otherwise(0.0)
+    for name, weight in (boosts or {}).items():
+        score = score + F.when(F.col("signal") == name, F.col("value") * weight).otherwise(0.0)
+    scaled = F.count_if(F.col("signal").isin(list(weights)))
+    out = signals.filter(F.col("signal").isin([*weights, *(boosts or {})])).groupBy(key).agg(F.sum(score).alias("score"), scaled.alias("signals"))
+    return out.filter("signals > 0").orderBy(F.desc(F.round("score", 12)), F.desc("signals"), key)
+
+
+def copurchase_for(pairs: DataFrame, owned: DataFrame, user: str, item: str) -> DataFrame:
+    """(user, other, times, items): how often other items go with those that a user has, and with how
+    many of these; items that the user has are left out."""
+    own = owned.select(user, item).distinct()
+    met = own.join(pairs.select(item, "other", "times"), item).groupBy(user, "other").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("items"))
+    return met.join(own.select(user, F.col(item).alias("other")), [user, "other"], "left_anti")
+
+
+def coverage(windows_: Column, one: Column, other: Column) -> Column:
+    """Windows of a run as a share of the shorter of two recordings' windows, at most 1."""
+    return F.least(F.lit(1.0), windows_ / F.greatest(F.least(one, other), F.lit(1)))
+
+
 def copurchase(baskets: DataFrame, basket: str, item: str, support: int = 1, top: int | None = None) -> DataFrame:
     """(item, other, times): items of the same basket, both ways; at least ``support`` times."""
     pairs = baskets.select(basket, item).distinct()
@@ -189,8 +227,7 @@ def ranking_metrics(ranked: DataFrame, user: str, hit: str, rank: str, k: int =
 def best_threshold(scores: DataFrame, score: str, truth: str) -> DataFrame:
     """Accuracy at each distinct score as a threshold, the best first, from running sums."""
     at = scores.groupBy(score).agg(F.sum(F.col(truth).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    run = Window.orderBy(F.desc(score))  # one row a distinct score
     total = at.agg(F.sum("p"), F.sum("n")).first()
-    sums = at.select(score, F.sum("p").over(run).alias("tp"), F.sum("n").over(run).alias("taken"))
+    sums = running(at, [F.desc(score)], {"tp": F.col("p"), "taken": F.col("n")}).select(score, "tp", "taken")
     right = F.col("tp") + (F.lit(total[1] - total[0]) - (F.col("taken") - F.col("tp")))
     return sums.withColumn("accuracy", right / total[1]).orderBy(F.desc("accuracy"), F.desc(score))

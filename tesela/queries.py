@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geo, vectors
+from .functions.ordered import every_nth
 from .operators import evaluation, language, media, service
 from .operators.search import TextIndex, ascii_terms
 from .plans.engine import Engine
@@ -116,6 +117,10 @@ _SAME: list[tuple[str, str, dict[str, int]]] = [
     ("facet_counts", "SELECT p_brand, COUNT(*) AS n FROM part GROUP BY p_brand HAVING COUNT(*) > 1 ORDER BY n DESC, p_brand", {}),
     ("catalogue_page", "SELECT p_partkey, p_name FROM part WHERE p_size = 10 ORDER BY p_partkey LIMIT 20 OFFSET 5", {}),
     ("copurchase_of_one", "SELECT b.l_partkey AS other, COUNT(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey WHERE a.l_partkey = 1 GROUP BY b.l_partkey", {}),
+    ("star_expand", "SELECT * FROM nation WHERE n_regionkey = 2", {}),
+    ("distinct_order", "SELECT DISTINCT o_orderpriority FROM orders ORDER BY o_orderpriority", {}),
+    ("join_theta_left", "SELECT r.r_regionkey, n.n_nationkey FROM region r LEFT JOIN nation n ON n.n_nationkey < r.r_regionkey", {}),
+    ("join_theta_full", "SELECT r.r_regionkey, n.n_nationkey FROM region r FULL JOIN nation n ON n.n_nationkey < r.r_regionkey", {}),
     ("interval_contains", "SELECT o_orderkey FROM orders WHERE o_orderkey - 5 <= 60 AND o_orderkey + 5 >= 60", {}),
 ]
 
@@ -126,11 +131,13 @@ def _hav(lat, lon, key="c_custkey"):
 
 
 _SQUARE = [(-12.3, -77.4), (-12.3, -76.9), (-11.8, -76.9), (-11.8, -77.4)]
+_CORNER = [(-12.3, -77.4), (-12.3, -76.9), (-12.1, -76.9), (-12.1, -77.2), (-11.8, -77.2), (-11.8, -77.4)]
 _DERIVED: list[tuple[str, str, str, dict[str, int]]] = [
     ("radius", "SELECT c_custkey, distancia(p, POINT(-12.05, -77.04)) AS d FROM customer_places WHERE distancia(p, POINT(-12.05, -77.04)) < 20000", f"SELECT c_custkey, {_hav(-12.05, -77.04)} AS d FROM customer WHERE {_hav(-12.05, -77.04)} < 20000", {"d": 3}),
     ("radius_filtered", "SELECT c_custkey FROM customer_places WHERE distancia(p, POINT(-12.1, -77.1)) <= 40000 AND c_acctbal > 0 AND c_mktsegment = 'BUILDING'", f"SELECT c_custkey FROM customer WHERE {_hav(-12.1, -77.1)} <= 40000 AND c_acctbal > 0 AND c_mktsegment = 'BUILDING'", {}),
     ("knn_point", "SELECT c_custkey, distancia(p, POINT(-12.05, -77.04)) AS d FROM customer_places ORDER BY distancia(p, POINT(-12.05, -77.04)), c_custkey LIMIT 10", f"SELECT c_custkey, {_hav(-12.05, -77.04)} AS d FROM customer ORDER BY d, c_custkey LIMIT 10", {"d": 3}),
     ("knn_euclid", "SELECT c_custkey, distancia(p, POINT(-12, -77), metrica = 'euclidiana') AS d FROM customer_places ORDER BY d, c_custkey LIMIT 10", f"SELECT c_custkey, sqrt(pow({_lat('c_custkey')} + 12, 2) + pow({_lon('c_custkey')} + 77, 2)) AS d FROM customer ORDER BY d, c_custkey LIMIT 10", {"d": 6}),
+    ("polygon_concave", "SELECT c_custkey FROM customer_places WHERE intersecta(p, POLYGON(" + ", ".join(map(str, _CORNER)) + "))", f"SELECT c_custkey FROM customer WHERE {_lat('c_custkey')} BETWEEN -12.3 AND -11.8 AND {_lon('c_custkey')} BETWEEN -77.4 AND -76.9 AND ({_lat('c_custkey')} <= -12.1 OR {_lon('c_custkey')} <= -77.2)", {}),
     ("polygon_in", "SELECT c_custkey FROM customer_places WHERE intersecta(p, POLYGON(" + ", ".join(map(str, _SQUARE)) + "))", f"SELECT c_custkey FROM customer WHERE {_lat('c_custkey')} BETWEEN -12.3 AND -11.8 AND {_lon('c_custkey')} BETWEEN -77.4 AND -76.9", {}),
 ]
 
@@ -311,7 +318,7 @@ def citation_counts(spark, sf_dir):
 
 
 def systematic_sample(spark, sf_dir):
-    return places(spark, sf_dir).filter((F.col("c_custkey") - 1) % 7 == 0).select("c_custkey", F.round("p.lat", 6).alias("lat"))  # every seventh row is the operation
+    return every_nth(places(spark, sf_dir), "c_custkey", 300).select("c_custkey", F.round("p.lat", 6).alias("lat"))
 
 
 def weighted_sample(spark, sf_dir):
@@ -377,6 +384,108 @@ def clean_pages(spark, sf_dir):
     return language.cleaned(docs, "doc_id", "pages")
 
 
+def filtered_hybrid(spark, sf_dir):
+    """Texts are filtered before they are ranked, vectors after 500 candidates."""
+    wanted = table(spark, sf_dir, "documents").filter("lang IN ('en', 'de')").select("doc_id")
+    words = text_index(spark, sf_dir)["text"].bm25("thing other").join(wanted, "doc_id", "left_semi").orderBy(F.desc("score"), "doc_id").limit(50)
+    near = vectors.knn(table(spark, sf_dir, "embeddings"), "embedding", _Q, 500, "vec_id").select(F.col("vec_id").alias("doc_id"), "score")
+    near = near.join(wanted, "doc_id", "left_semi").orderBy(F.desc("score"), "doc_id").limit(50)
+    return rounded(service.rrf([(words, 1.0), (near, 1.0)], "doc_id"), {"score": 8})
+
+
+def over_fetch(spark, sf_dir):
+    near = vectors.knn(table(spark, sf_dir, "embeddings"), "embedding", _Q, 40, "vec_id")
+    kept = near.join(table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id"), F.col("vec_id") == F.col("doc_id"))
+    return kept.orderBy(F.desc("score"), "vec_id").limit(10).select("vec_id", F.round("score", 6).alias("score"))
+
+
+def _owned(spark, sf_dir):
+    bought = table(spark, sf_dir, "orders").filter("o_custkey % 100 = 0").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return bought.select("o_custkey", "l_partkey").distinct()
+
+
+def copurchase_for_user(spark, sf_dir):
+    """For each customer whose key 100 divides."""
+    pairs = service.copurchase(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+    return service.copurchase_for(pairs, _owned(spark, sf_dir), "o_custkey", "l_partkey")
+
+
+def fused_signals(spark, sf_dir):
+    """Sales and prices, a third signal without rows, nearness as a boost, one brand left out."""
+    li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    sold = li.groupBy("l_partkey").agg(F.sum("l_quantity").alias("value")).select(F.lit("sold").alias("signal"), F.col("l_partkey").alias("part"), "value")
+    price = part.filter("p_partkey % 2 = 0").select(F.lit("price").alias("signal"), F.col("p_partkey").alias("part"), F.col("p_retailprice").alias("value"))
+    near = part.filter("p_partkey % 3 = 0").select(F.lit("near").alias("signal"), F.col("p_partkey").alias("part"), (F.col("p_partkey") % 10 / 10).alias("value"))
+    gone = part.filter("p_partkey % 7 = 0").select(F.col("p_partkey").alias("part"))
+    return rounded(service.fused_signals(sold.union(price).union(near), "part", {"sold": 0.5, "price": 0.2, "history": 0.3}, {"near": 0.1}, gone), {"score": 6})
+
+
+def run_scores(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 12).alias("w"), (F.pmod(F.col("event_id"), F.lit(31)) / 30.0).alias("s"), (F.col("user_id") % 9 + 1).alias("u"), (F.col("event_id") % 5 + 2).alias("o"))
+    return e.select("event_id", F.round(service.run_score(F.col("w"), F.col("s")), 6).alias("score"), F.round(service.coverage(F.col("w"), F.col("u"), F.col("o")), 6).alias("coverage"))
+
+
+def recommender_use(spark, sf_dir):
+    top = service.copurchase(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", 1, 3).select(F.col("other").alias("l_partkey"))
+    sold = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("times"))
+    catalogue = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"))
+    return rounded(evaluation.catalogue_use(top, catalogue, sold, "l_partkey", "times"), {"coverage": 6, "popularity": 6})
+
+
+def bootstrap(spark, sf_dir):
+    per = table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg((F.col("event_type") == "click").cast("double")).alias("hit"))
+    return rounded(evaluation.bootstrap_means(per, "user_id", "hit", 50), {"mean": 6})
+
+
+def identification(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("value", (F.col("event_id") % 3 > 0).alias("mated"), (F.col("event_type") == "click").alias("right"))
+    return rounded(evaluation.identification(e, "value", "mated", "right", 50.0), {"rank_1": 6, "fnir": 6, "fpir": 6})
+
+
+def detection(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("value") > 40).alias("found"), (F.col("event_type") == "click").alias("truth"))
+    return rounded(evaluation.detection(e, "found", "truth"), {"precision": 6, "recall": 6, "f1": 6})
+
+
+def interval_overlap(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", *[(F.col("event_id") % m).cast("double").alias(c) for m, c in ((11, "a"), (7, "b"))])
+    return e.select("event_id", F.round(evaluation.interval_iou((F.col("a"), F.col("a") + 4), (F.col("b"), F.col("b") + 3)), 6).alias("iou"))
+
+
+def roc_continuous(spark, sf_dir):
+    """Scores as they are, nearly all distinct."""
+    e = table(spark, sf_dir, "events").select(F.col("value").alias("score"), (F.col("event_type") == "click").alias("truth"))
+    return rounded(evaluation.auc(e, "score", "truth").select("auc"), {"auc": 6})
+
+
+def null_keys(spark, sf_dir):
+    """Null keys meet nothing, and outer joins keep them."""
+    e = Engine(spark)
+    e.register("a", table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")).alias("k")))
+    e.register("b", table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey")).alias("k")))
+    return e.sql("SELECT a.o_orderkey, b.c_custkey FROM a FULL JOIN b ON a.k = b.k")
+
+
+def date_text(spark, sf_dir):
+    e = Engine(spark)
+    e.register("o", table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d")))
+    return e.sql("SELECT o_orderkey FROM o WHERE d >= '1996-01-10' AND d < '1996-03-01' AND NOT d = '1996-02-03'")
+
+
+def write_path(spark, sf_dir):
+    """A table that is made, filled, changed, cut and rolled back, and read."""
+    e = Engine(spark)
+    e.sql("CREATE TABLE w (id INT PRIMARY KEY, n INT, x FLOAT, s VARCHAR(8))")
+    e.sql("INSERT INTO w VALUES " + ", ".join(f"({i}, {i % 7}, {i * 0.5}, 's{i % 4}')" for i in range(1, 61)))
+    e.sql("INSERT INTO w (id, s) VALUES (61, 'new'), (62, NULL)")
+    e.sql("UPDATE w SET n = n + 10, x = NULL WHERE s = 's1'")
+    e.sql("DELETE FROM w WHERE n = 3 OR id > 61")
+    e.sql("BEGIN")
+    e.sql("DELETE FROM w WHERE id > 0")
+    e.sql("ROLLBACK")
+    return e.sql("SELECT id, n, x, s FROM w")
+
+
 _FRAME: dict[str, tuple[Callable, str | None]] = {
     "term_df": (term_df, _TERMS + " SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tf GROUP BY term"),
     "knn_cosine": (_knn("cosine"), f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 10"),
@@ -404,7 +513,7 @@ _FRAME: dict[str, tuple[Callable, str | None]] = {
     "chunk_docs": (chunk_docs, None),
     "spell_fix": (spell_fix, None),
     "citation_counts": (citation_counts, "WITH c AS (SELECT unnest(regexp_extract_all(text || ' [1, 3] and [' || doc_id % 9 || ']', '\\[(\\d+(?:\\s*,\\s*\\d+)*)\\]', 1)) AS g FROM documents), n AS (SELECT CAST(trim(unnest(string_split(g, ','))) AS INTEGER) AS cited FROM c) SELECT cited, count(*) AS n FROM n GROUP BY cited"),
-    "systematic_sample": (systematic_sample, f"SELECT c_custkey, round({_lat('c_custkey')}, 6) AS lat FROM customer WHERE (c_custkey - 1) % 7 = 0"),
+    "systematic_sample": (systematic_sample, f"WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer) SELECT c_custkey, round({_lat('c_custkey')}, 6) AS lat FROM r WHERE i % CAST(ceil(n / 300e0) AS BIGINT) = 0"),
     "weighted_sample": (weighted_sample, None),
     "resemblance": (resemblance, "WITH b AS (SELECT event_id % 9 AS shot, user_id AS person, max(value / 100) AS s FROM events GROUP BY ALL), f AS (SELECT shot, min(s) AS floor FROM b GROUP BY shot), p AS (SELECT DISTINCT person FROM b) SELECT p.person, round(avg(coalesce(b.s, f.floor)), 6) AS score FROM p CROSS JOIN f LEFT JOIN b ON b.shot = f.shot AND b.person = p.person GROUP BY p.person"),
     "class_medoid": (class_medoid, "WITH u AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS v FROM u GROUP BY ALL), l AS (SELECT label, list(v ORDER BY i) AS v FROM m GROUP BY label) SELECT label, arg_min(vec_id, (-round(list_cosine_similarity(" + _E + ", v), 9), vec_id)) AS vec_id FROM embeddings JOIN l USING (label) GROUP BY label"),
@@ -416,6 +525,20 @@ _FRAME: dict[str, tuple[Callable, str | None]] = {
     "roc_auc": (roc_auc, "WITH a AS (SELECT CAST(floor(value) AS BIGINT) AS s, count(*) FILTER (WHERE event_type = 'click') AS p, count(*) FILTER (WHERE event_type <> 'click') AS q FROM events GROUP BY 1), c AS (SELECT p, q, sum(p) OVER (ORDER BY s DESC) AS up FROM a) SELECT round(sum(q * (up - p / 2)) / (sum(p) * sum(q)), 6) AS auc FROM c"),
     "tar_at_far": (tar_at_far, "WITH a AS (SELECT CAST(floor(value) AS BIGINT) AS s, count(*) FILTER (WHERE event_type = 'click') AS p, count(*) FILTER (WHERE event_type <> 'click') AS q FROM events GROUP BY 1), c AS (SELECT sum(p) OVER (ORDER BY s DESC) / sum(p) OVER () AS tpr, sum(q) OVER (ORDER BY s DESC) / sum(q) OVER () AS fpr FROM a) SELECT round(coalesce(max(tpr), 0), 6) AS tar FROM c WHERE fpr <= 1e-1"),
     "rater_kappa": (rater_kappa, "WITH t AS (SELECT count(*) AS n, avg(CASE WHEN quality = toxic THEN 1e0 ELSE 0 END) AS o, avg(quality) AS a, avg(toxic) AS b FROM labels) SELECT round((o - (a * b + (1 - a) * (1 - b))) / (1 - (a * b + (1 - a) * (1 - b))), 6) AS kappa FROM t"),
+    "filtered_hybrid": (filtered_hybrid, _bm25("thing other") + f", ok AS (SELECT doc_id FROM documents WHERE lang IN ('en', 'de')), w AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s SEMI JOIN ok USING (doc_id) QUALIFY rank <= 50), c AS (SELECT vec_id AS doc_id, {_COS} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 500), n AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM c SEMI JOIN ok USING (doc_id) QUALIFY rank <= 50) SELECT doc_id, round(sum(1e0 / (60 + rank)), 8) AS score, CAST(min(rank) AS INTEGER) AS best_rank FROM (SELECT * FROM w UNION ALL SELECT * FROM n) GROUP BY doc_id"),
+    "over_fetch": (over_fetch, f"WITH n AS (SELECT vec_id, {_COS} AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 40) SELECT vec_id, round(s, 6) AS score FROM n JOIN documents ON vec_id = doc_id WHERE lang = 'en' ORDER BY s DESC, vec_id LIMIT 10"),
+    "copurchase_for_user": (copurchase_for_user, _PAIRS + ", o AS (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 100 = 0) SELECT o_custkey, other, CAST(sum(times) AS BIGINT) AS times, count(*) AS items FROM o JOIN c USING (l_partkey) WHERE NOT EXISTS (SELECT 1 FROM o AS x WHERE x.o_custkey = o.o_custkey AND x.l_partkey = c.other) GROUP BY ALL"),
+    "fused_signals": (fused_signals, "WITH s AS (SELECT 'sold' AS g, l_partkey AS part, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY l_partkey UNION ALL SELECT 'price', p_partkey, p_retailprice FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'near', p_partkey, (p_partkey % 10) / 1e1 FROM part WHERE p_partkey % 3 = 0), k AS (SELECT * FROM s WHERE part % 7 <> 0), b AS (SELECT g, min(v) AS lo, max(v) AS hi FROM k WHERE g <> 'near' GROUP BY g) SELECT part, round(sum(CASE g WHEN 'near' THEN v * 1e-1 ELSE (CASE g WHEN 'sold' THEN 5e-1 ELSE 2e-1 END) / 7e-1 * CASE WHEN hi = lo THEN 1 ELSE (v - lo) / (hi - lo) END END), 6) AS score, count(*) FILTER (WHERE g <> 'near') AS signals FROM k LEFT JOIN b USING (g) GROUP BY part HAVING count(*) FILTER (WHERE g <> 'near') > 0"),
+    "run_scores": (run_scores, "SELECT event_id, round(least(1e0, (event_id % 12) / 7e0) * greatest(0e0, least(1e0, ((event_id % 31) / 30e0 - 85e-2) / 15e-2)), 6) AS score, round(least(1e0, (event_id % 12) / CAST(greatest(least(user_id % 9 + 1, event_id % 5 + 2), 1) AS DOUBLE)), 6) AS coverage FROM events"),
+    "recommender_use": (recommender_use, _PAIRS + ", r AS (SELECT other FROM c QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY times DESC, other) <= 3), n AS (SELECT l_partkey, count(*) AS k FROM lineitem GROUP BY 1) SELECT round((SELECT count(DISTINCT other) FROM r SEMI JOIN part ON p_partkey = other) / (SELECT count(*) FROM part), 6) AS coverage, round(avg(CAST(coalesce(k, 0) AS DOUBLE)), 6) AS popularity FROM r LEFT JOIN n ON n.l_partkey = r.other"),
+    "bootstrap": (bootstrap, "WITH p AS (SELECT user_id, avg(CASE WHEN event_type = 'click' THEN 1e0 ELSE 0 END) AS hit FROM events GROUP BY 1), u AS (SELECT hit, CAST(b AS INTEGER) AS round, CAST('0x' || substr(md5(user_id || ':' || b || ':7'), 1, 8) AS BIGINT) / 4294967296e0 AS u FROM p, range(50) AS r(b)), w AS (SELECT round, hit, " + " + ".join(f"CASE WHEN u >= {edge!r}::DOUBLE THEN 1 ELSE 0 END" for edge in evaluation.POISSON) + " AS w FROM u) SELECT round, round(sum(w * hit) / greatest(sum(w), 1), 6) AS mean FROM w GROUP BY round"),
+    "identification": (identification, "WITH e AS (SELECT value AS v, event_id % 3 > 0 AS m, event_type = 'click' AS r FROM events) SELECT round(count(*) FILTER (WHERE m AND r) / count(*) FILTER (WHERE m), 6) AS rank_1, round(count(*) FILTER (WHERE m AND NOT (r AND v >= 50)) / count(*) FILTER (WHERE m), 6) AS fnir, round(count(*) FILTER (WHERE NOT m AND v >= 50) / count(*) FILTER (WHERE NOT m), 6) AS fpir FROM e"),
+    "detection": (detection, "WITH e AS (SELECT value > 40 AS f, event_type = 'click' AS t FROM events), n AS (SELECT count(*) FILTER (WHERE f AND t) AS tp, count(*) FILTER (WHERE f) AS p, count(*) FILTER (WHERE t) AS t FROM e) SELECT round(CASE WHEN p = 0 THEN 0 ELSE tp / p END, 6) AS precision, round(CASE WHEN t = 0 THEN 0 ELSE tp / t END, 6) AS recall, round(CASE WHEN p + t = 0 THEN 0 ELSE 2 * tp / (p + t) END, 6) AS f1 FROM n"),
+    "interval_overlap": (interval_overlap, "WITH e AS (SELECT event_id, event_id % 11 AS a, event_id % 7 AS b FROM events), i AS (SELECT event_id, greatest(0, least(a + 4, b + 3) - greatest(a, b)) AS i FROM e) SELECT event_id, round(i / CAST(7 - i AS DOUBLE), 6) AS iou FROM i"),
+    "roc_continuous": (roc_continuous, "WITH a AS (SELECT value AS s, count(*) FILTER (WHERE event_type = 'click') AS p, count(*) FILTER (WHERE event_type <> 'click') AS q FROM events GROUP BY 1), c AS (SELECT p, q, sum(p) OVER (ORDER BY s DESC) AS up FROM a) SELECT round(sum(q * (up - p / 2)) / (sum(p) * sum(q)), 6) AS auc FROM c"),
+    "null_keys": (null_keys, "WITH a AS (SELECT o_orderkey, CASE WHEN o_custkey % 5 <> 0 THEN o_custkey END AS k FROM orders), b AS (SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS k FROM customer) SELECT a.o_orderkey, b.c_custkey FROM a FULL JOIN b ON a.k = b.k"),
+    "date_text": (date_text, "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1996-01-10' AND CAST(o_orderdate AS DATE) < DATE '1996-03-01' AND CAST(o_orderdate AS DATE) <> DATE '1996-02-03'"),
+    "write_path": (write_path, "WITH t AS (SELECT i AS id, CASE WHEN i <= 60 THEN i % 7 END AS n, CASE WHEN i <= 60 THEN i * 5e-1 END AS x, CASE WHEN i <= 60 THEN 's' || (i % 4) WHEN i = 61 THEN 'new' END AS s FROM range(1, 63) AS r(i)), u AS (SELECT id, CASE WHEN s = 's1' THEN n + 10 ELSE n END AS n, CASE WHEN s = 's1' THEN NULL ELSE x END AS x, s FROM t) SELECT * FROM u WHERE NOT (coalesce(n = 3, false) OR id > 61)"),
     "weight_search": (weight_search, None),
     "clean_pages": (clean_pages, None),
 }
