@@ -15,11 +15,9 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import defaultdict
-from collections.abc import Iterator
 from itertools import count, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -305,7 +303,7 @@ def read_model(spark, path: str) -> bytes:
 
 
 #: Texts of about so many characters are sampled together.
-GROUP = 600_000
+GROUP = 250_000
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL, seed: int = 20, sharpness: float = 1.0, digest: bool = False) -> DataFrame:
@@ -353,8 +351,8 @@ def decode(encoded: DataFrame, ids_col: str = "ids", model: str = DEFAULT_MODEL)
     """
     proto = read_model(encoded.sparkSession, model)
 
-    @F.pandas_udf("string")
-    def text(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("string", F.PandasUDFType.SCALAR_ITER)
+    def text(columns):
         pieces = Pieces(proto)
         for column in columns:
             yield column.map(lambda ids: None if ids is None else pieces.decode(ids).decode())
