@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +22,7 @@ SPACE = r"\x20\x09-\x0D"
 BROADCAST_ROWS = 1_000_000
 
 _OWN: list[str] = []
+_TABLES: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -45,11 +48,31 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tesela-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (tables := _TABLES.get()) is not None:
+        tables.append(path)
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def own_tables(spark: SparkSession, keep: Callable[[list[str]], list[str]]):
+    """Tables that are saved inside are removed at the end, but for those that ``keep`` chooses of
+    their paths, in the order in which they were saved: what is left must not be read from the others."""
+    outer, mine = _TABLES.get(), []
+    token = _TABLES.set(mine)
+    try:
+        yield
+    finally:
+        _TABLES.reset(token)
+        left = keep(mine)
+        for path in set(mine) - set(left):
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        if outer is not None:
+            outer += left
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Bound a session's Arrow batches to 4 MB, unless it has set a bound of its own.
 
