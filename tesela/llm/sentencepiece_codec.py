@@ -28,7 +28,9 @@ from .common import tidy
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: A store of more edges than this starts anew; lattices are rebuilt then, with the same draws.
-STORE_EDGES = 2_000_000
+STORE_EDGES = 1_200_000
+#: Edges that a store has room for; a group of texts that needs more makes more.
+ROOM = STORE_EDGES * 5 // 4
 
 
 class Pieces:
@@ -219,13 +221,15 @@ class Store:
     """The lattices of the units that a task has met, up to STORE_EDGES."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces = pieces
+        self.pieces, self.key = pieces, np.zeros(0, np.int64)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = defaultdict(count().__next__)
         self.states = self.edges = 0
-        self.last, self.key, self.emit, self.to = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.last = np.zeros(0, np.int64)
+        if len(self.key) != ROOM:  # pages that are never written take no memory
+            self.key, self.emit, self.to = np.empty(ROOM, np.int64), np.empty(ROOM, np.int32), np.empty(ROOM, np.int32)
 
     def numbers(self, units: list[str]) -> np.ndarray:
         """The number of each unit in the store, after those that are new were added."""
@@ -241,9 +245,8 @@ class Store:
             key += self.states << 32
             to[to >= 0] += self.states
             grown = self.edges + len(key)
-            if grown > len(self.key):  # room for half as much again, so that adding costs its own size
-                room = max(len(self.key) * 3 // 2, grown)
-                self.key, self.emit, self.to = (np.concatenate([old[: self.edges], np.zeros(room - self.edges, old.dtype)]) for old in (self.key, self.emit, self.to))
+            if grown > len(self.key):  # one group with very many new units
+                self.key, self.emit, self.to = (np.concatenate([old[: self.edges], np.empty(len(key), old.dtype)]) for old in (self.key, self.emit, self.to))
             for mine, added in ((self.key, key), (self.emit, emit), (self.to, to)):
                 mine[self.edges : grown] = added
             self.states, self.edges = self.states + states, grown
@@ -303,7 +306,7 @@ def read_model(spark, path: str) -> bytes:
 
 
 #: Texts of about so many characters are sampled together.
-GROUP = 250_000
+GROUP = 150_000
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL, seed: int = 20, sharpness: float = 1.0, digest: bool = False) -> DataFrame:
