@@ -46,7 +46,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that a Jaccard similarity of 0.8 over 5-word shingles links: the one
-    with the smallest doc_id. Texts without words link with each other only."""
+    with the smallest doc_id. Operator 7's tree finds pairs of near fingerprints, whole sets decide, and
+    an exact way follows for pairs beyond its radius. Texts without words link with each other only."""
     let_go(spark)
     return keep_dissimilar(docs)
 

@@ -1,6 +1,13 @@
-"""Near dedup of the pipeline: Jaccard similarity over word shingles, decided on whole sets.
+"""Near dedup of the pipeline: SimHash over a vantage-point tree, decided on whole sets of shingles.
 
-The smallest hashes of a text's shingles are its sketch. Two similar texts share at least so many
+Operator 7's tree, asked for a wide radius, pairs texts whose fingerprints (of the set of 5-word
+shingles) are within RADIUS bits; the Jaccard similarity of their whole sets decides. Texts at a
+similarity of 0.8 differ in 9.7 of 64 bits on average, and in more than RADIUS with a chance of some
+hundredths. No radius holds all of them, so an exact way follows for the rest: pairs farther apart, and
+those inside crowds, where the tree compares each text with leaders only. It asks for no pair that the
+tree has decided.
+
+The way for the rest: the smallest hashes of a text's shingles are its sketch. Two similar texts share at least so many
 hashes of their sketches, so they meet in one of the rarest hashes of each (a prefix by rarity);
 texts that meet are candidates if their sketches share enough, and the full shingle sets of each
 candidate pair are compared. Sketches only propose: a pair at the stated similarity is not proposed
@@ -25,6 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import byte_texts, own_tables, plain_names, saved, small, tidy, with_row_ids
 from .components import connected_components
+from .simhash import close_fingerprints, majority
+
+#: Differing bits up to which the tree pairs texts.
+RADIUS = 14
 
 #: Hashes of a sketch; chance to miss a pair; texts that a hash may pair one by one; leaders of others.
 SKETCH, MISS, HOT, LEADERS = 64, 1e-7, 200, 8
@@ -60,7 +71,8 @@ def _sketches(width: int):
         for batch in batches:
             sets = [shingle_set(t, width) for t in byte_texts(batch.column(1))]
             whole = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), _lists([s[:SKETCH] for s in sets])], names=["rid", "whole", "n", "sketch"])
+            fp = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(fp), _lists([s[:SKETCH] for s in sets])], names=["rid", "whole", "n", "fp", "sketch"])
 
     return run
 
@@ -97,25 +109,55 @@ def _verified(pairs: DataFrame, each: DataFrame, rows: DataFrame, similarity: fl
     return saved(whole.select("a", "b", "x", "y").mapInArrow(tidy(_alike(similarity)), "a long, b long"))
 
 
+def tree_pairs(each: DataFrame, similarity: float, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of the texts ``each`` (rid, n, fp) whose fingerprints the tree finds within RADIUS
+    and whose sizes allow the similarity, and the crowded fingerprints (fp); both saved. Every such pair
+    is there but for those of two crowded ones, which meet their leaders."""
+    each = each.select("rid", "n", "fp")
+    first = F.min(F.struct("rid", "n")).alias("first")
+    classes = saved(each.groupBy("fp").agg(F.count(F.lit(1)).alias("texts"), first).select("fp", "texts", "first.rid", "first.n"))
+    close = saved(close_fingerprints(classes.select("fp", "texts"), RADIUS, hot).distinct())
+    crowded = saved(close.filter("a = b").select(F.col("a").alias("fp")))
+    own = classes.filter("texts > 1").join(small(crowded, crowded.count()), "fp", "left_anti").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+
+    def texts(of: DataFrame, side: str, fp: str) -> DataFrame:
+        return of.select(F.col("fp").alias(fp), F.col("rid").alias(f"rid{side}"), F.col("n").alias(f"n{side}"))
+
+    plain = close.filter("NOT led").select("a", "b").union(own).join(texts(each, "x", "a"), "a").join(texts(each, "y", "b"), "b")
+    plain = plain.filter((F.col("a") != F.col("b")) | (F.col("ridx") < F.col("ridy")))
+    led = close.filter("led").select("a", "b").join(texts(classes, "x", "a"), "a").join(texts(each, "y", "b"), "b").filter("ridx <> ridy")
+    met = plain.union(led.select(plain.columns)).filter(F.least("nx", "ny") >= similarity * F.greatest("nx", "ny"))
+    return saved(met.select(F.least("ridx", "ridy").alias("a"), F.greatest("ridx", "ridy").alias("b")).distinct()), crowded
+
+
 def similar_pairs(rows: DataFrame, similarity: float = 0.8, width: int = 5, hot: int = HOT) -> DataFrame:
     """Links (a, b) of ``rows`` (rid, text, saved) whose shingle sets have that Jaccard similarity or
     more: enough of them to span every linked set. Of rows with equal sets one stands for all."""
-    sketches = saved(rows.select("rid", "text").mapInArrow(tidy(_sketches(width)), "rid long, whole binary, n int, sketch array<long>"))
+    sketches = saved(rows.select("rid", "text").mapInArrow(tidy(_sketches(width)), "rid long, whole binary, n int, fp long, sketch array<long>"))
     lead = sketches.groupBy("whole").agg(F.min("rid").alias("a"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     equal = saved(sketches.join(lead, "whole").filter("rid <> a").select("a", F.col("rid").alias("b")))
     copies = small(equal.select(F.col("b").alias("rid")), equal.count())
     # A text shares c hashes of its sketch with any similar one: of short texts both sketches are whole sets.
     c = F.when(F.col("n") <= math.floor(SKETCH * similarity), F.ceil(F.col("n") * F.lit(similarity) - 1e-9)).otherwise(least_shared(similarity)).cast("int")
-    each = saved(sketches.join(copies, "rid", "left_anti").select("rid", "n", c.alias("c"), "sketch"))
+    each = saved(sketches.join(copies, "rid", "left_anti").select("rid", "n", "fp", c.alias("c"), "sketch"))
+    near, crowded = tree_pairs(each, similarity, hot)
+    whose = near.select(F.col("a").alias("rid")).union(near.select("b")).distinct()
+    found = _verified(near, each.join(small(whose, 2 * near.count()), "rid", "left_semi"), rows, similarity, width)
+    labels = connected_components(found).withColumnRenamed("node", "rid")
+    crowds = small(crowded.withColumn("crowded", F.lit(True)), crowded.count())
+    known = each.drop("sketch").join(crowds, "fp", "left").join(small(labels, labels.count()), "rid", "left")
+    known = saved(known.select("rid", "n", "c", "fp", F.coalesce("crowded", F.lit(False)).alias("crowded"), F.coalesce("label", "rid").alias("label")))
+    # The rest: pairs that the tree has not decided, as they are farther apart or in a crowd.
     entries = each.select("rid", F.explode("sketch").alias("h"))
     often = saved(entries.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
     # Hashes of one text only are a sketch's rarest: they are counted and need not be moved.
     rarest = entries.join(often, "h").groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"), F.count_if(F.col("df") > hot).cast("long").alias("common"))  # SKETCH at most
     p = F.greatest(F.size("hs") - F.col("c") + 1, F.lit(0))
-    rarest = rarest.join(each.select("rid", "n", "c"), "rid").select("rid", "n", "common", F.explode(F.slice("hs", F.lit(1), p)).alias("x"))
-    prefix = saved(rarest.select("rid", "n", "common", F.col("x.h").alias("h")))
+    text = ["rid", "n", "fp", "crowded", "label"]
+    rarest = rarest.join(known, "rid").select(*text, "common", F.explode(F.slice("hs", F.lit(1), p)).alias("x"))
+    prefix = saved(rarest.select(*text, "common", F.col("x.h").alias("h")))
     # Leaders have most of what is common, the first one most of all; among equals a hash draws.
-    drawn = [F.max(F.struct(F.col("common") if i == 0 else F.floor(F.col("common") / 8).cast("long"), F.xxhash64("rid", F.lit(i)), F.col("rid").alias("rid"), F.col("n").alias("n"))).alias(f"l{i}") for i in range(LEADERS)]
+    drawn = [F.max(F.struct(F.col("common") if i == 0 else F.floor(F.col("common") / 8).cast("long"), F.xxhash64("rid", F.lit(i)), *[F.col(v).alias(v) for v in text])).alias(f"l{i}") for i in range(LEADERS)]
     sizes = saved(prefix.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), *drawn).filter("texts > 1"))
     prefix = prefix.drop("common")
     large = sizes.filter(F.col("texts") > hot)
@@ -123,16 +165,17 @@ def similar_pairs(rows: DataFrame, similarity: float = 0.8, width: int = 5, hot:
 
     def pairs(x: DataFrame, y: DataFrame, extra=True) -> DataFrame:
         x, y = (d.select("h", *[F.col(v).alias(f"{v}{s}") for v in d.columns if v != "h"]) for d, s in ((x, "x"), (y, "y")))
-        close = (F.col("ridx") != F.col("ridy")) & (F.least("nx", "ny") >= similarity * F.greatest("nx", "ny"))
+        open_ = (F.bit_count(F.col("fpx").bitwiseXOR(F.col("fpy"))) > RADIUS) | (F.col("crowdedx") & F.col("crowdedy"))
+        close = (F.col("labelx") != F.col("labely")) & open_ & (F.least("nx", "ny") >= similarity * F.greatest("nx", "ny"))
         met = x.join(y, "h").filter(close if extra is True else close & extra)
         return met.select(F.least("ridx", "ridy").alias("a"), F.greatest("ridx", "ridy").alias("b")).distinct()
 
     cold = prefix.join(sizes.filter(F.col("texts") <= hot).select("h"), "h", "left_semi")
-    found = _verified(pairs(cold, cold, F.col("ridx") < F.col("ridy")), each, rows, similarity, width)
+    found = saved(found.union(_verified(pairs(cold, cold, F.col("ridx") < F.col("ridy")), each, rows, similarity, width)))
     if not many:
         return found.union(equal)
     crowd = saved(prefix.join(small(large.select("h"), many), "h", "left_semi"))
-    leaders = large.select("h", F.explode(F.array(*[F.struct(f"l{i}.rid", f"l{i}.n") for i in range(LEADERS)])).alias("l")).select("h", "l.rid", "l.n").distinct()
+    leaders = large.select("h", F.explode(F.array(*[F.struct(*[f"l{i}.{v}" for v in text]) for i in range(LEADERS)])).alias("l")).select("h", "l.*").distinct()
     found = saved(found.union(_verified(pairs(crowd, small(leaders, LEADERS * many)), each, rows, similarity, width)))
     labels = connected_components(found)
     whose = saved(crowd.select("rid").distinct())
@@ -141,22 +184,29 @@ def similar_pairs(rows: DataFrame, similarity: float = 0.8, width: int = 5, hot:
     place = F.row_number().over(Window.partitionBy("rid").orderBy("df", "h"))
     all_ = all_.join(all_.groupBy("h").agg(F.count(F.lit(1)).alias("df")), "h").withColumn("place", place)
     all_ = all_.filter((F.col("df") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1))
-    all_ = saved(all_.select("h", "rid", "n", "place"))
+
+    def labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
+        """Labels meet texts first, which are far fewer than entries."""
+        texts = whose.join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
+        return entries.join(texts, "rid")
+
+    all_ = saved(labelled(all_.select("h", "rid", "n", "place"), labels).join(known.select("rid", "fp", "crowded"), "rid"))
+    # Sets only grow: a hash whose texts are linked already has nothing more to ask.
+    parted = all_.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    all_ = saved(all_.join(parted.select("h"), "h", "left_semi"))
     bound = 1 + F.least(F.col("nx") - F.col("placex"), F.col("ny") - F.col("placey")) >= F.ceil((F.col("nx") + F.col("ny")) * F.lit(similarity / (1 + similarity)) - 1e-9)
 
-    def asked(by: str) -> DataFrame:
+    def asked(by: str, all_now: DataFrame) -> DataFrame:
         """Entries of a hash that are apart from its largest linked set; of each such set one text, or all."""
-        all_now = all_.join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
         main = all_now.groupBy("h", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max(F.struct("k", "label")).alias("m")).select("h", F.col("m.label").alias("main"))
         apart = all_now.join(main, "h").filter("label <> main").drop("main")
         if by == "label":
-            first = F.min(F.struct(F.xxhash64("rid").alias("x"), "rid", "n", "place")).alias("f")
-            apart = apart.groupBy("h", "label").agg(first, F.count(F.lit(1)).alias("k")).filter("k > 1").select("h", "f.rid", "f.n", "f.place", "label")
-        return pairs(apart, all_now, (F.col("labelx") != F.col("labely")) & bound)
+            first = F.min(F.struct(F.xxhash64("rid").alias("x"), "rid", "n", "place", "fp", "crowded")).alias("f")
+            apart = apart.groupBy("h", "label").agg(first, F.count(F.lit(1)).alias("k")).filter("k > 1").select("h", "f.rid", "f.n", "f.place", "f.fp", "f.crowded", "label")
+        return pairs(apart, all_now, bound)
 
-    found = saved(found.union(_verified(asked("label"), each, rows, similarity, width)))
-    labels = connected_components(found)
-    rest = _verified(asked("rid"), each, rows, similarity, width)
+    found = saved(found.union(_verified(asked("label", all_), each, rows, similarity, width)))
+    rest = _verified(asked("rid", labelled(all_.drop("label"), connected_components(found))), each, rows, similarity, width)
     return found.union(rest).union(equal)
 
 

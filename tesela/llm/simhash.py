@@ -22,6 +22,8 @@ from .components import connected_components, merge_labels
 #: Fingerprints of a shard, as planned; of a sample that splits shards, about; of
 #: each shard that it splits, at least.
 SHARD, SAMPLE, EACH = 32_768, 65_536, 128
+#: Neighbours that lead a crowded fingerprint; pairs that a task holds before it thins crowds.
+LEADERS, HELD = 8, 1 << 22
 _LEAF = 1 << 20
 
 
@@ -36,11 +38,15 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
         return 0
     n = max(1, len(words) - width + 1)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
-    h = np.fromiter(map(partial(xxh64_intdigest, seed=seed), shingles), np.uint64, n)
+    return majority(np.fromiter(map(partial(xxh64_intdigest, seed=seed), shingles), np.uint64, n))
+
+
+def majority(h: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes ``h``."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 65_536):
+    for at in range(0, len(h), 65_536):
         counts += np.unpackbits(h[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
 
 
 def _fingerprints(width: int):
@@ -91,7 +97,8 @@ def fit_tree(sample: np.ndarray, leaves: int, radius: int, numbers: Iterator[int
 
 
 def _route(tree, radius: int):
-    """Rows (shard, fp, home). Of two linked points that a split parts, the outer one visits."""
+    """Rows (shard, fp, home), then what else a row has. Of two linked points that a split parts, the
+    outer one visits."""
 
     def run(batches):
         for batch in batches:
@@ -116,48 +123,31 @@ def _route(tree, radius: int):
 
             walk(tree, np.arange(len(fp)), np.ones(len(fp), bool))
             if shards:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shards)), pa.array(fp[np.concatenate(whose)].view(np.int64)), pa.array(np.concatenate(homes))], names=["shard", "fp", "home"])
+                at = np.concatenate(whose)
+                more = [c.take(pa.array(at)) for c in batch.columns[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shards)), pa.array(fp[at].view(np.int64)), pa.array(np.concatenate(homes)), *more], names=["shard", "fp", "home", *batch.schema.names[1:]])
 
     return run
 
 
-def join_within(x: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
-    """Labels (smallest index) of the sets that links among homes and from visitors to homes make."""
-    label, rng, kept, held = np.arange(len(x)), np.random.default_rng(11), [], 0
-
-    def flush():
-        nonlocal held
-        if kept:
-            merge_labels(label, np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept]))
-        kept.clear()
-        held = 0
-
-    def compare(a, b):
-        nonlocal held
-        step = max(1, _LEAF // max(1, len(b)))
-        for i in range(0, len(a), step):
-            r, c = np.nonzero(np.bitwise_count(x[a[i : i + step], None] ^ x[None, b]) <= radius)
-            r, c = a[i + r], b[c]
-            apart = label[r] != label[c]
-            kept.append((r[apart], c[apart]))
-            held += int(apart.sum())
-            if held > 1 << 20:
-                flush()
-
+def _blocks(x: np.ndarray, home: np.ndarray, radius: int, leaves: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices (a, b) whose products hold all links among homes (a is b, or parts of them) and from
+    visitors to homes, each link once; products of up to ``leaves`` leaves are not split."""
+    rng = np.random.default_rng(11)
     todo = [(h := np.flatnonzero(home), h), (np.flatnonzero(~home), h)]
     while todo:
         a, b = todo.pop()
         if not len(a) or not len(b):
             continue
-        if len(a) * len(b) <= _LEAF or min(len(a), len(b)) < 64:
-            compare(a, b)
+        if len(a) * len(b) <= leaves * _LEAF or min(len(a), len(b)) < 64:
+            yield a, b
             continue
         v, mu = _split(x[a if len(a) >= len(b) else b], radius, rng)
         if a is b:
             d = distances(x[a], v)
             low, high = a[d <= mu], a[d > mu]
             if not len(low) or not len(high):
-                compare(a, b)
+                yield a, b
                 continue
             todo += [(low, low), (high, high), (a[(d > mu) & (d <= mu + radius)], a[(d <= mu) & (d > mu - radius)])]
             continue
@@ -166,13 +156,80 @@ def join_within(x: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
         da, db = distances(x[a], v), distances(x[b], v)
         low, high = da <= mu, da > mu
         if low.all() or high.all():
-            compare(a[low | high], b)
+            yield a[low | high], b
             continue
         todo += [(a[low], b[db <= mu + radius]), (a[high], b[db > mu - radius])]
+
+
+def _near(x: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of the pairs of a block within the radius, some rows of it at a time."""
+    step = max(1, _LEAF // max(1, len(b)))
+    for i in range(0, len(a), step):
+        r, c = np.nonzero(np.bitwise_count(x[a[i : i + step], None] ^ x[None, b]) <= radius)
+        yield a[i + r], b[c]
+
+
+def join_within(x: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
+    """Labels (smallest index) of the sets that links among homes and from visitors to homes make."""
+    label, kept, held = np.arange(len(x)), [], 0
+
+    def flush():
+        nonlocal held
+        if kept:
+            merge_labels(label, np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept]))
+        kept.clear()
+        held = 0
+
+    for block in _blocks(x, home, radius):
+        for r, c in _near(x, *block, radius):
+            apart = label[r] != label[c]
+            kept.append((r[apart], c[apart]))
+            held += int(apart.sum())
+            if held > 1 << 20:
+                flush()
     flush()
     return label
 
 
+def _leading(r: np.ndarray, c: np.ndarray, degree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(leader, led): of each index in the pairs (r, c) its LEADERS neighbours of the highest degree."""
+    u, v = np.concatenate([r, c]), np.concatenate([c, r])
+    order = np.lexsort((v, -degree[v], u))
+    u, v = u[order], v[order]
+    first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]][: len(u)])
+    place = np.arange(len(u)) - np.repeat(first, np.diff(np.r_[first, len(u)]))
+    return v[place < LEADERS], u[place < LEADERS]
+
+
+def pairs_within(x: np.ndarray, texts: np.ndarray, home: np.ndarray, radius: int, hot: int) -> tuple[np.ndarray, ...]:
+    """(a, b, leader, led, crowded): the pairs (a, b) of distinct fingerprints within the radius, among
+    homes and of visitors with homes, but for those of which both are ``crowded``, within the radius of
+    over ``hot`` other ``texts``: of these each one's pairs with its leaders."""
+    degree, hits, held, most = texts.astype(np.int64) - 1, [], 0, HELD
+
+    def thinned():
+        r, c = (np.concatenate([np.empty(0, np.int64), *(h[i] for h in hits)]) for i in (0, 1))
+        both = (degree[r] > hot) & (degree[c] > hot)
+        return r[~both], c[~both], *_leading(r[both], c[both], degree)
+
+    for a, b in _blocks(x, home, radius, 16):  # at a wide radius splits exclude little
+        for r, c in _near(x, a, b, radius):
+            if a is b:
+                once = r < c
+                r, c = r[once], c[once]
+            np.add.at(degree, r, texts[c])
+            np.add.at(degree, c, texts[r])
+            hits.append((r, c))
+            held += len(r)
+            if held > most:
+                r, c, lead, led = thinned()
+                ends = np.unique(np.stack([np.minimum(lead, led), np.maximum(lead, led)]), axis=1)
+                hits[:] = [(r, c), (ends[0], ends[1])]
+                held = len(r) + ends.shape[1]
+                most = max(HELD, 2 * held)
+    return *thinned(), np.flatnonzero(degree > hot)
+
+
 def _links(radius: int):
     def run(table: pa.Table) -> pa.Table:
         x = table.column("fp").to_numpy().view(np.uint64)
@@ -183,6 +240,16 @@ def _links(radius: int):
     return run
 
 
+def _pairs(radius: int, hot: int):
+    def run(table: pa.Table) -> pa.Table:
+        x = table.column("fp").to_numpy()
+        a, b, lead, led, crowded = pairs_within(x.view(np.uint64), table.column("texts").to_numpy(), table.column("home").to_numpy(), radius, hot)
+        whose = np.repeat([False, True], [len(a), len(lead) + len(crowded)])
+        return pa.table({"a": x[np.concatenate([a, lead, crowded])], "b": x[np.concatenate([b, led, crowded])], "led": whose})
+
+    return run
+
+
 def _sampled(rows: DataFrame, n: int, most: int, by: str = "fp") -> DataFrame:
     """About ``most`` of ``n`` rows by a hash of ``by``, the same ones in each run."""
     return rows.filter(F.pmod(F.xxhash64(by), F.lit(1 << 30)) < max(1, min(1 << 30, (most << 30) // max(1, n))))
@@ -232,6 +299,18 @@ def link_fingerprints(distinct: DataFrame, radius: int = 3) -> DataFrame:
     return routed.groupBy("shard").applyInArrow(_links(radius), "a long, b long")
 
 
+def close_fingerprints(distinct: DataFrame, radius: int, hot: int) -> DataFrame:
+    """Pairs (a, b, led) of distinct fingerprints (fp, texts: how many texts have it) within the radius.
+
+    A fingerprint that is so close to over ``hot`` other texts, its own among them, is crowded: it has
+    a row with itself. Pairs of two crowded ones are given only where a leads b. All other pairs are
+    there: a wide radius visits most shards, so that comparisons grow with the square of the rows.
+    """
+    tree = grown_tree(distinct, distinct.count(), radius)
+    routed = distinct.select("fp", F.col("texts").cast("long")).mapInArrow(_route(tree, radius), "shard int, fp long, home boolean, texts long")
+    return routed.groupBy("shard").applyInArrow(_pairs(radius, hot), "a long, b long, led boolean")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, carry: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: rid, id, fp (the 64 bits as a long), component_id, and, with
     ``carry``, the text and those columns.

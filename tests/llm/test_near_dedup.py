@@ -7,7 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tesela.llm import near_dedup
+from tesela.llm import near_dedup, simhash
 from tesela.llm.near_dedup import keep_dissimilar
 
 SF = "/root/testdata/sf0.01"
@@ -74,3 +74,71 @@ def test_stage_takes_five_words_and_four_fifths(spark):
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert len(got) == len(set(got)) and set(got) == kept(texts)
     assert not {914, 770, 944, 875} & set(got)
+
+
+def test_tree_proposes_every_pair_within_its_radius(spark, monkeypatch):
+    """Whatever the crowds: a pair of the radius is there, or both of its fingerprints are crowded."""
+    monkeypatch.setattr(simhash, "SHARD", 150)
+    monkeypatch.setattr(simhash, "SAMPLE", 400)
+    monkeypatch.setattr(simhash, "HELD", 50)
+    rng = random.Random(5)
+    centers = [rng.getrandbits(64) for _ in range(25)]
+    fps = {c for c in centers}
+    for c in [centers[0]] * 120 + centers * 12:
+        for bit in rng.sample(range(64), rng.randint(0, 12)):
+            c ^= 1 << bit
+        fps.add(c)
+    fps = sorted(fps)
+    texts = {f: rng.choice([1, 1, 1, 2, 30]) for f in fps}
+    signed = [(f - (1 << 64) if f >> 63 else f, n) for f, n in texts.items()]
+    got = simhash.close_fingerprints(spark.createDataFrame(signed, "fp long, texts long"), 14, 20).collect()
+    crowded = {r.a % 2**64 for r in got if r.a == r.b}
+    plain = [tuple(sorted((r.a % 2**64, r.b % 2**64))) for r in got if not r.led]
+    led = {(r.a % 2**64, r.b % 2**64) for r in got if r.led and r.a != r.b}
+    near = {(a, b) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= 14}
+    missing = near - set(plain)
+    assert len(plain) == len(set(plain)) and set(plain) <= near
+    assert missing and all(a in crowded and b in crowded for a, b in missing)
+    degree = {f: texts[f] - 1 for f in fps}
+    for a, b in near:
+        degree[a] += texts[b]
+        degree[b] += texts[a]
+    assert crowded <= {f for f in fps if degree[f] > 20}
+    assert {tuple(sorted(p)) for p in led} <= near and {b for _, b in led} <= crowded
+    assert {a for a, b in missing} | {b for a, b in missing} <= {b for _, b in led}
+
+
+def test_stage_gets_links_from_the_tree(spark, monkeypatch):
+    """The stage's links within the radius come from operator 7's tree; the way for the rest adds others only."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    trees, proposed = [], []
+    grown, tree_pairs = simhash.grown_tree, near_dedup.tree_pairs
+    monkeypatch.setattr(simhash, "grown_tree", lambda distinct, n, radius: trees.append(radius) or grown(distinct, n, radius))
+    monkeypatch.setattr(near_dedup, "tree_pairs", lambda *a: proposed.append(tree_pairs(*a)) or proposed[0])
+    near_rows = near_dedup.with_row_ids(docs)
+    links = {tuple(sorted((r.a, r.b))) for r in near_dedup.similar_pairs(near_rows).collect()}
+    assert trees == [near_dedup.RADIUS] and near_dedup.RADIUS >= 10
+    sets = {r.rid: near_dedup.shingle_set((r.text or "").encode()) for r in near_rows.collect()}
+    first = {}
+    sets = {i: s for i, s in sorted(sets.items()) if first.setdefault(s.tobytes(), i) == i}  # one of equal sets stands for all
+    fp = {i: simhash.majority(s) for i, s in sets.items()}
+    pairs = {(r.a, r.b) for r in proposed[0][0].collect()}
+    alike = set()
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = len(sets[a]), len(sets[b])
+        if min(x, y) >= 0.8 * max(x, y) and (fp[a] ^ fp[b]).bit_count() <= near_dedup.RADIUS:
+            both = len(set(sets[a].tolist()) & set(sets[b].tolist()))
+            if both >= 0.8 * (x + y - both):
+                alike.add((a, b))
+    assert len(alike) >= 3 and alike <= pairs and alike <= links
+    rest = {(a, b) for a, b in links - pairs if a in sets and b in sets}
+    assert all((fp[a] ^ fp[b]).bit_count() > near_dedup.RADIUS for a, b in rest)
+
+
+@pytest.mark.parametrize("hot", [200, 3])
+def test_links_beyond_the_radius(spark, monkeypatch, hot):
+    """What a narrower tree does not propose is found all the same."""
+    monkeypatch.setattr(near_dedup, "RADIUS", 5)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(1000)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert {r.doc_id for r in keep_dissimilar(docs, hot=hot).collect()} == kept(texts)
