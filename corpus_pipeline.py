@@ -22,10 +22,11 @@ from tesela.llm.quality_classifier import keep_good
 from tesela.llm.sentencepiece_codec import encode
 
 
-def let_go(spark: SparkSession) -> None:
-    """Have Spark remove the shuffle files of earlier stages now: it does when the driver's JVM has
-    collected the plans that wrote them, which on a large heap can be much later. A plan that is still
-    referred to keeps its files."""
+def begin(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, as a stage may be called by itself, and have Spark remove the
+    shuffle files of earlier stages now: it does when the driver's JVM has collected the plans that wrote
+    them, which on a large heap can be much later. A plan that is still referred to keeps its files."""
+    bound_batches(spark)
     gc.collect()
     spark._jvm.System.gc()
 
@@ -33,14 +34,14 @@ def let_go(spark: SparkSession) -> None:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject: it scores every row, an empty text too.
     Without labels of both classes the prior decides for all rows alike."""
-    let_go(spark)
+    begin(spark)
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the smallest doc_id, of repeated rows one; all empty
     and null texts are equal."""
-    let_go(spark)
+    begin(spark)
     return keep_first(docs)
 
 
@@ -48,21 +49,21 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that a Jaccard similarity of 0.8 over 5-word shingles links: the one
     with the smallest doc_id. Operator 7's tree finds pairs of near fingerprints, whole sets decide, and
     an exact way follows for pairs beyond its radius. Texts without words link with each other only."""
-    let_go(spark)
+    begin(spark)
     return keep_dissimilar(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mixture takes of each document; repeats are rows of their own. Texts without
     words are not in the mixture; a null source is a source."""
-    let_go(spark)
+    begin(spark)
     return mixed_documents(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled piece ids of each row, with the check that decoding gives its text back. A null or empty
     text has no pieces; null ids share one key."""
-    let_go(spark)
+    begin(spark)
     return encode(docs)
 
 
@@ -74,7 +75,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    bound_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir))

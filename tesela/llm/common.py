@@ -104,6 +104,15 @@ def with_row_ids(df: DataFrame, name: str = "rid") -> DataFrame:
     return saved(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+def local_table(spark: SparkSession, columns: dict[str, pa.Array]) -> DataFrame:
+    """A small table from the driver, as a part of the plan.
+
+    Rows of a Python list would go through Python workers of a pool of their own, which Spark keeps on
+    each executor beside those of Arrow functions.
+    """
+    return spark.createDataFrame(pa.table(columns))
+
+
 def plain_names(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """``df`` with other columns than ``keep`` under names that clash with none of an operator's."""
     return df.toDF(*[c if c in keep else f"other_{i}" for i, c in enumerate(df.columns)])

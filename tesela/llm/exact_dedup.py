@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, plain_names, saved, small, text_of
+from .common import SPACE, local_table, plain_names, saved, small, text_of, tidy
 
 _GAPS = re.compile(rb"[\x20\x09-\x0D]+")
 #: First bytes of a text in the sort key; its digest follows them.
@@ -115,8 +115,8 @@ def _goes_on(edges: list, texts: DataFrame) -> list[bool]:
     same = [i for i in range(1, len(edges)) if edges[i]["sha"] == edges[i - 1]["sha"]]
     if not same:
         return [False] * len(edges)
-    spark = texts.sparkSession
-    pairs = spark.createDataFrame([(i, edges[i - 1].pid, edges[i - 1].edge, edges[i].pid, edges[i].edge) for i in same], "i int, p int, e int, q int, f int")
+    near = [(i, edges[i - 1].pid, edges[i - 1].edge, edges[i].pid, edges[i].edge) for i in same]
+    pairs = local_table(texts.sparkSession, {k: pa.array(v, pa.int32()) for k, v in zip("ipeqf", zip(*near))})
     side = lambda p, e, t: texts.select(F.col("pid").alias(p), F.col("edge").alias(e), F.col("edge_text").alias(t))
     met = pairs.join(side("p", "e", "x"), ["p", "e"]).join(side("q", "f", "y"), ["q", "f"])
     found = {r.i for r in met.filter(F.col("x") == F.col("y")).select("i").collect()}
@@ -203,10 +203,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     rows = plain_names(docs).withColumnsRenamed({"doc_id": "id", "text": "_text"})
     ranged = _sorted(rows)
-    found = saved(ranged.mapInArrow(_firsts(ranged.columns), T.StructType([*ranged.schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_edge", T.IntegerType())])))
+    found = saved(ranged.mapInArrow(tidy(_firsts(ranged.columns)), T.StructType([*ranged.schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_edge", T.IntegerType())])))
     texts = found.filter("_edge > 0").select(F.col("_pid").alias("pid"), F.col("_edge").alias("edge"), F.col("_sha").alias("sha"), _norm("_text").alias("edge_text"))
     edges = sorted(texts.select("pid", "edge", "sha").collect(), key=lambda r: (r.pid, r.edge))  # two slim rows a partition at most
     gone = [(e.pid, e.edge) for e, on in zip(edges, _goes_on(edges, texts)) if on]
-    drop = docs.sparkSession.createDataFrame(gone, "_pid int, _edge int")
+    drop = local_table(docs.sparkSession, {"_pid": pa.array([p for p, _ in gone], pa.int32()), "_edge": pa.array([e for _, e in gone], pa.int32())})
     return found.join(small(drop, len(gone)), ["_pid", "_edge"], "left_anti").select(*rows.columns).toDF(*columns)
 

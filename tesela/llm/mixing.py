@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, small, with_row_ids, word_count
+from .common import local_table, saved, small, tidy, with_row_ids, word_count
 from .sentencepiece_codec import mix64
 
 #: Words of a block; documents of a packing chunk, about; output shards at least; slots of a shard at
@@ -110,7 +110,7 @@ class Mix:
         facts.sort(key=lambda r: (r.source is None, r.source or ""))
         sizes = [int(r["size"]) for r in facts]
         self.targets = targets(sizes, [weights[i % len(weights)] for i in range(len(facts))], share * sum(sizes))
-        table = spark.createDataFrame([(i, r.source, sizes[i], float(self.targets[i])) for i, r in enumerate(facts)], "sid int, name string, source_size long, target double")
+        table = local_table(spark, {"sid": pa.array(range(len(facts)), pa.int32()), "name": pa.array([r.source for r in facts], pa.string()), "source_size": pa.array(sizes, pa.int64()), "target": pa.array(self.targets, pa.float64())})
         known = self.rows.join(small(table, len(facts)), F.col("source").eqNullSafe(F.col("name")), "left").drop("name")
         self.docs = known
         slim = known.filter("size > 0").select("rid", "id", "sid", "size")
@@ -192,4 +192,4 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
                 out[chars_at] = pa.array([len(t) for t in texts]).cast(out[chars_at].type)
             yield pa.RecordBatch.from_arrays(out, names=columns)
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(tidy(cut), schema)

@@ -6,6 +6,8 @@ import pytest
 import corpus_pipeline
 from tesela.llm import queries
 from tesela.llm.common import saved
+from tesela.llm.exact_dedup import keep_first
+from tesela.llm.mixing import Mix
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +41,25 @@ def test_sql(spark, name):
     assert sorted(names) == columns
     want = sorted([str(r[names.index(c)]) for c in columns] for r in out.fetchall())
     assert sorted([str(r[c]) for c in columns] for r in df.collect()) == want
+
+
+def test_each_stage_bounds_its_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, docs = spark.conf.get(key), spark.read.parquet(f"{SF}/documents.parquet")
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(key)
+            stage(spark, docs, SF)
+            assert spark.conf.get(key) == "4m"
+            spark.conf.set(key, "1m")
+            stage(spark, docs, SF)
+            assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_recipe_and_edges_are_parts_of_the_plan(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for df in (Mix(docs).docs, keep_first(docs)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "ExternalRDD" not in plan and "LogicalRDD" not in plan
